@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .packing import pack
 from .sharding import shard_documents
 from .tables import table
+from .token_counts import count_tokens
 from .warc import page_records, resolve_revisits
 
 
@@ -59,9 +62,19 @@ def op3_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op7_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+def op9_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), longest=1024, closing_id=0)
+
+
 QUERIES = {
     "op2_revisits": op2_revisits,
     "op3_ring": op3_ring,
+    "op7_prefix_counts": op7_prefix_counts,
+    "op9_power_of_two": op9_power_of_two,
 }
 
 ORACLES = {
