@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import pack
+from .quality import quality_verdicts
 from .sharding import shard_documents
 from .tables import table
 from .token_counts import count_tokens
@@ -66,6 +67,10 @@ def op7_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), longest=1024, closing_id=0)
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op2_revisits": op2_revisits,
     "op3_ring": op3_ring,
     "op7_prefix_counts": op7_prefix_counts,
+    "op8_decision_list": op8_decision_list,
     "op9_power_of_two": op9_power_of_two,
 }
 
