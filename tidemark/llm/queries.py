@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import contamination
 from .packing import pack
 from .quality import quality_verdicts
 from .sharding import shard_documents
@@ -75,12 +76,17 @@ def op9_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), longest=1024, closing_id=0)
 
 
+def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_revisits": op2_revisits,
     "op3_ring": op3_ring,
     "op7_prefix_counts": op7_prefix_counts,
     "op8_decision_list": op8_decision_list,
     "op9_power_of_two": op9_power_of_two,
+    "op10_fm_index": op10_fm_index,
 }
 
 ORACLES = {
