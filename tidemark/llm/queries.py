@@ -10,11 +10,16 @@ from .decontamination import contamination
 from .packing import pack
 from .quality import quality_verdicts
 from .sharding import shard_documents
+from .suffix_dedup import remove_repeats
 from .tables import table
 from .token_counts import count_tokens
 from .warc import page_records, resolve_revisits
 
 
+def op1_bucket_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = page_records(table(spark, sf_dir, "pages"), delay=40_001)
     resolved = resolve_revisits(records, bucket_width=1 << 16)
@@ -81,6 +86,7 @@ def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bucket_pointer": op1_bucket_pointer,
     "op2_revisits": op2_revisits,
     "op3_ring": op3_ring,
     "op7_prefix_counts": op7_prefix_counts,
