@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import contamination
+from .jaccard_join import similar_components
 from .packing import pack
 from .quality import quality_verdicts
 from .sharding import shard_documents
@@ -69,6 +70,10 @@ def op3_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op4_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(table(spark, sf_dir, "documents"), part=80, whole=100)
+
+
 def op7_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -89,6 +94,7 @@ QUERIES = {
     "op1_bucket_pointer": op1_bucket_pointer,
     "op2_revisits": op2_revisits,
     "op3_ring": op3_ring,
+    "op4_signature_trees": op4_signature_trees,
     "op7_prefix_counts": op7_prefix_counts,
     "op8_decision_list": op8_decision_list,
     "op9_power_of_two": op9_power_of_two,
