@@ -14,6 +14,7 @@ from .sharding import shard_documents
 from .suffix_dedup import remove_repeats
 from .tables import table
 from .token_counts import count_tokens
+from .toxicity import toxicity
 from .warc import page_records, resolve_revisits
 
 
@@ -74,6 +75,10 @@ def op4_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"), part=80, whole=100)
 
 
+def op5_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -95,6 +100,7 @@ QUERIES = {
     "op2_revisits": op2_revisits,
     "op3_ring": op3_ring,
     "op4_signature_trees": op4_signature_trees,
+    "op5_noisy_channel": op5_noisy_channel,
     "op7_prefix_counts": op7_prefix_counts,
     "op8_decision_list": op8_decision_list,
     "op9_power_of_two": op9_power_of_two,
