@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .decontamination import contamination
 from .jaccard_join import similar_components
 from .packing import pack
+from .page_differencing import main_texts
 from .quality import quality_verdicts
 from .sharding import shard_documents
 from .suffix_dedup import remove_repeats
@@ -79,6 +80,10 @@ def op5_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -101,6 +106,7 @@ QUERIES = {
     "op3_ring": op3_ring,
     "op4_signature_trees": op4_signature_trees,
     "op5_noisy_channel": op5_noisy_channel,
+    "op6_page_differencing": op6_page_differencing,
     "op7_prefix_counts": op7_prefix_counts,
     "op8_decision_list": op8_decision_list,
     "op9_power_of_two": op9_power_of_two,
