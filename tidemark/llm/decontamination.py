@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,12 +118,13 @@ def searched(shard: list[list[str]], blocks: Iterator[Phrases]) -> tuple[list[in
     return hits, spans, [sorted(x) for x in items]
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, carry: list[str]) -> DataFrame:
-    """The columns `carry` of every row of `documents`, and n_words, n_hit, spans (first word, end) and items (sorted)."""
+def find_contamination(documents: DataFrame, benchmark: DataFrame, carry: list[str], prefix: str = "") -> DataFrame:
+    """The columns `carry` of every row of `documents`, and n_words, n_hit, spans (first word, end) and items (sorted), their names after `prefix`."""
     spark = documents.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // BLOCK_BYTES + 1
+    added = T.StructType.fromDDL(f"{prefix}n_words long, {prefix}n_hit long, {prefix}spans array<array<long>>, {prefix}items array<string>")
     shares = []
     for k in range(blocks):  # each holds about BLOCK_BYTES of text
         share = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
@@ -144,7 +145,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, carry: list[s
             held = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
             return pa.RecordBatch.from_arrays(
                 [*held.columns[1:], pa.array([len(x) for x in shard], pa.int64()), pa.array(hits, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(found, pa.list_(pa.string()))],
-                names=[*carry, "n_words", "n_hit", "spans", "items"],
+                names=[*carry, *added.names],
             )
 
         rows, shard, size = [], [], 0
@@ -163,7 +164,6 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, carry: list[s
             yield done(rows, shard)
 
     kept = [documents.schema[name] for name in carry]
-    added = T.StructType.fromDDL("n_words long, n_hit long, spans array<array<long>>, items array<string>")
     return documents.select(F.col("text").alias("_searched"), *carry).mapInArrow(search, T.StructType([*kept, *added]))
 
 
@@ -173,5 +173,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
-def is_contaminated():
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+def is_contaminated(prefix: str = "") -> Column:
+    return (F.col(f"{prefix}n_hit") > 0) & (20 * F.col(f"{prefix}n_hit") >= F.col(f"{prefix}n_words"))
+
+
+def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that aren't contaminated, all their columns."""
+    prefix = "_found_"
+    found = find_contamination(documents, benchmark, documents.columns, prefix)
+    return found.filter(~is_contaminated(prefix)).select(*documents.columns)

@@ -24,31 +24,49 @@ CHUNK_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
 
 
-def pack_chunks(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """chunk (long), ids (of documents; NULL_ID for null), sizes and data: the UTF-8 of their texts, compressed.  A document isn't split."""
+def pack_chunks(documents: DataFrame, carry: list[str] | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """chunk (long), ids (of documents; NULL_ID for null), sizes, data (the UTF-8 of their texts, compressed) and rest: the columns `carry` as an Arrow stream.  A document isn't split."""
+    carry = carry or []
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId() << 32, 0
-        ids, texts, size = [], [], 0
+        ids, texts, size, rest = [], [], 0, []
 
         def chunk() -> pa.RecordBatch:
             data = b"".join(texts)
             squeezed = pa.compress(data, codec="zstd", asbytes=True)
-            columns = [[task + number], [ids], [[len(x) for x in texts]], [squeezed]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()], strict=True)], names=["chunk", "ids", "sizes", "data"])
+            columns = [[task + number], [ids], [[len(x) for x in texts]], [squeezed], [streamed(rest) if carry else None]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()], strict=True)], names=["chunk", "ids", "sizes", "data", "rest"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            begin = 0
+            others = pa.RecordBatch.from_arrays(batch.columns[2:], names=carry) if carry else batch
+            for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 ids.append(NULL_ID if doc_id is None else doc_id)
                 texts.append((text or "").encode())
                 size += len(texts[-1])
                 if size >= chunk_bytes:
+                    rest.append(others.slice(begin, k + 1 - begin))
                     yield chunk()
-                    ids, texts, size, number = [], [], 0, number + 1
+                    ids, texts, size, rest, number, begin = [], [], 0, [], number + 1, k + 1
+            if begin < batch.num_rows:
+                rest.append(others.slice(begin))
         if ids:
             yield chunk()
 
-    return checkpointed(documents.select("doc_id", "text").mapInArrow(packed, "chunk long, ids array<long>, sizes array<long>, data binary"))
+    return checkpointed(documents.select(F.col("doc_id").cast("long").alias("_chunk_id"), F.col("text").alias("_chunk_text"), *carry).mapInArrow(packed, "chunk long, ids array<long>, sizes array<long>, data binary, rest binary"))
+
+
+def streamed(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        for batch in batches:
+            writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unstreamed(rest: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(rest).read_all().combine_chunks().to_batches()[0]
 
 
 class Chunk:

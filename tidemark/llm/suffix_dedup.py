@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import NULL_ID, Chunk, answer, ask, buckets_of, by_bucket, pack_chunks, split_by
+from .exchange import NULL_ID, Chunk, answer, ask, buckets_of, by_bucket, pack_chunks, split_by, unstreamed
 
 LENGTH = 100
 GRAM = 32
@@ -350,9 +350,9 @@ def removed_bytes(chunk: Chunk, contexts: Contexts, kind: np.ndarray, judged: di
     return np.cumsum(marks[:-1]) > 0
 
 
-def find_repeats(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, int]:
+def find_repeats(documents: DataFrame, hot: int, carry: list[str]) -> tuple[DataFrame, int]:
     """Chunks with the answers to both questions, and the number of buckets."""
-    chunks = pack_chunks(documents)
+    chunks = pack_chunks(documents, carry)
     buckets = buckets_of(documents)
 
     def anchors(row: dict) -> list[tuple[int, bytes]]:
@@ -377,26 +377,51 @@ def find_repeats(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, int]:
     return known.join(strings, "chunk", "left"), buckets
 
 
+def without_repeats(row: dict, buckets: int) -> list[tuple]:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept for each document of a chunk's row."""
+    chunk = Chunk(row)
+    contexts = Contexts(chunk)
+    gone = removed_bytes(chunk, contexts, kinds(contexts, by_bucket(row["anchors"]), buckets), by_bucket(row["strings"]), buckets)
+    out = []
+    for doc_id, begin, size in zip(chunk.ids.tolist(), chunk.begins.tolist(), chunk.sizes.tolist(), strict=True):
+        mask = gone[begin : begin + size]
+        removed = int(mask.sum())
+        text = chunk.data[begin : begin + size]
+        kept = (text[~mask] if removed else text).tobytes()
+        spans = int((mask[1:] & ~mask[:-1]).sum() + mask[0]) if removed else 0
+        out.append((None if doc_id == NULL_ID else doc_id, size, removed, spans, hashlib.sha256(kept).hexdigest(), kept))
+    return out
+
+
 def remove_repeats(documents: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay) of every document."""
-    chunks, buckets = find_repeats(documents, hot)
+    chunks, buckets = find_repeats(documents, hot, [])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                chunk = Chunk(row)
-                contexts = Contexts(chunk)
-                gone = removed_bytes(chunk, contexts, kinds(contexts, by_bucket(row["anchors"]), buckets), by_bucket(row["strings"]), buckets)
-                out = []
-                for doc_id, begin, size in zip(chunk.ids.tolist(), chunk.begins.tolist(), chunk.sizes.tolist(), strict=True):
-                    mask = gone[begin : begin + size]
-                    removed = int(mask.sum())
-                    text = chunk.data[begin : begin + size]
-                    kept = (text[~mask] if removed else text).tobytes()
-                    spans = int((mask[1:] & ~mask[:-1]).sum() + mask[0]) if removed else 0
-                    out.append((None if doc_id == NULL_ID else doc_id, size, removed, spans, hashlib.sha256(kept).hexdigest(), kept))
-                types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows = without_repeats(batch.slice(k, 1).to_pylist()[0], buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return chunks.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def shortened_documents(documents: DataFrame, hot: int = HOT) -> DataFrame:
+    """All columns of every document, its text without repeated strings, and n_chars, if it has that column, to match.  A character that loses one of its bytes goes."""
+    columns = documents.columns
+    carry = [c for c in columns if c != "text"]
+    chunks, buckets = find_repeats(documents, hot, carry)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                texts = [r[-1].decode("utf-8", "ignore") for r in without_repeats(row, buckets)]
+                rest = unstreamed(row["rest"])
+                own = {"text": pa.array(texts, pa.string())}
+                if "n_chars" in carry:
+                    own["n_chars"] = pa.array([len(t) for t in texts], rest.schema.field("n_chars").type)
+                yield pa.RecordBatch.from_arrays([own[c] if c in own else rest.column(rest.schema.get_field_index(c)) for c in columns], names=columns)
+
+    return chunks.mapInArrow(cut, documents.schema)

@@ -196,8 +196,8 @@ def learn(rows: DataFrame, model: Broadcast) -> tuple[dict[str, float], float]:
     return lexicon, min(0.4, (left + 0.5) / (left + clean + 1))
 
 
-def score_texts(documents: DataFrame, labels: DataFrame, carry: list[str]) -> DataFrame:
-    """The columns `carry` of every document, and its score."""
+def score_texts(documents: DataFrame, labels: DataFrame, carry: list[str], name: str = "score") -> DataFrame:
+    """The columns `carry` of every document, and its score in column `name`."""
     context = documents.sparkSession.sparkContext
     model = context.broadcast(letter_model(documents))
     lexicon, without = learn(sampled(documents, labels), model)
@@ -220,9 +220,9 @@ def score_texts(documents: DataFrame, labels: DataFrame, carry: list[str]) -> Da
             for text in batch.column(0).to_pylist():
                 words = plain_words(text or "", letters, known)
                 scores.append(max((values.get(w) or value(w) for w in words), default=none))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*carry, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*carry, name])
 
-    schema = T.StructType([*(documents.schema[c] for c in carry), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(documents.schema[c] for c in carry), T.StructField(name, T.DoubleType())])
     return documents.select(F.col("text").alias("_scored"), *carry).mapInArrow(scored, schema)
 
 
@@ -230,3 +230,8 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out (fold 0), score and predicted (score of 0.5 or more) for every document."""
     scored = score_texts(documents, labels, ["doc_id"])
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def clean_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that aren't predicted to be toxic, all their columns."""
+    return score_texts(documents, labels, documents.columns, "_score").filter("_score < 0.5").select(*documents.columns)
