@@ -105,7 +105,7 @@ def searched(shard: list[list[str]], blocks: Iterator[Phrases]) -> tuple[list[in
         by_document = np.argsort(document, kind="stable")
         document, begin, which = document[by_document], begin[by_document], which[by_document]
         edges = np.flatnonzero(np.diff(document, prepend=-1))
-        for at, end in zip(edges, np.append(edges[1:], len(document)), strict=True):
+        for at, end in zip(edges, [*edges[1:], len(document)], strict=False):
             d, mine = document[at], which[at:end]
             np.add.at(marks[d], begin[at:end], 1)
             np.add.at(marks[d], begin[at:end] + phrases.lengths[mine], -1)
