@@ -25,7 +25,7 @@ ENDS = " .,;:?\"')]}%#&<>/\\=[{"
 SPELT = re.compile(r"(?<!\S)(?:\S[ .\-_*~]){2,}\S(?!\S)")
 DISGUISED = re.compile(r"[\W\d_]|(.)\1\1")
 
-LOOKALIKE, SILENT, LESS, KEPT = math.log(0.05), math.log(0.02), math.log(0.3), math.log(0.01)
+LOOKALIKE, SILENT, LESS, DOUBLED, KEPT = (math.log(p) for p in (0.05, 0.02, 0.3, 0.1, 0.01))
 
 
 def letter(c: str) -> str:
@@ -82,6 +82,8 @@ def choices(word: str) -> list[list[tuple[str, float]]]:
             out.append([("", SILENT), ("?", KEPT)])
         elif n > 2:
             out.append([(c, LESS), (c * 2, LESS)])
+        elif n == 2:
+            out.append([(c * 2, 0.0), (c, DOUBLED)])
         else:
             out.append([(c * n, 0.0)])
     return out
