@@ -257,12 +257,12 @@ def company_year_rollup(spark, sf_dir):
 
 
 @query("""SELECT CAST(ts AS DATE) AS day, count(*) AS n_events, count(DISTINCT user_id) AS n_people, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS BIGINT) AS n_signups,
-  round(100.0 * sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN event_type IN ('purchase', 'view') THEN 1 ELSE 0 END), 0), 6) AS percent_bought, round(avg(value), 6) AS mean_value, round(stddev_samp(value), 6) AS deviation, coalesce(bool_or(value > 99), false) AS some_large FROM events GROUP BY 1""")
+  round(100.0 * sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN event_type IN ('purchase', 'view') THEN 1 ELSE 0 END), 0), 6) AS percent_bought, CAST(floor(sum(floor(value * 100 + 0.5)) / count(*)) AS BIGINT) AS mean_cents, round(stddev_samp(value), 6) AS deviation, coalesce(bool_or(value > 99), false) AS some_large FROM events GROUP BY 1""")
 def team_rollup(spark, sf_dir):
     bought, seen = F.count_if(F.col("event_type") == "purchase"), F.count_if(F.col("event_type").isin("purchase", "view"))
     return events(spark, sf_dir).groupBy(F.to_date("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("n_events"), F.count_distinct("user_id").alias("n_people"), F.count_if(F.col("event_type") == "signup").alias("n_signups"),
-        F.round(sem.ratio(100.0 * bought, seen), 6).alias("percent_bought"), F.round(F.avg("value"), 6).alias("mean_value"), F.round(F.stddev_samp("value"), 6).alias("deviation"), sem.any_true(F.col("value") > 99).alias("some_large"),
+        F.round(sem.ratio(100.0 * bought, seen), 6).alias("percent_bought"), F.floor(F.sum(F.floor(F.col("value") * 100 + 0.5).cast("double")) / F.count(F.lit(1))).alias("mean_cents"), F.round(F.stddev_samp("value"), 6).alias("deviation"), sem.any_true(F.col("value") > 99).alias("some_large"),
     )
 
 
