@@ -108,7 +108,7 @@ class Contexts:
         last[:-1] &= first[1:] | ~inside[1:]
         self.count = np.flatnonzero(last) - self.start + 1
         self.document = document[self.start]
-        self.anchor = hashes[place[self.start]]
+        self.anchor = mixed(hashes[place[self.start]] + np.uint64(0x9E3779B97F4A7C15))  # minima are small: mixed again they are spread evenly
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -172,6 +172,27 @@ class Hot:
         self.hashes = pair[self.first]
 
 
+class Plain:
+    """The contexts of other anchors that occur elsewhere, equal ones in a chunk as one: document id and place of each, and the earliest of each class."""
+
+    def __init__(self, chunk: Chunk, contexts: Contexts, kind: np.ndarray) -> None:
+        mine = np.flatnonzero(kind == 1)
+        self.start, self.count, self.anchor = contexts.start[mine], contexts.count[mine], contexts.anchor[mine]
+        document = contexts.document[mine]
+        self.id, self.place = chunk.ids[document], self.start - chunk.begins[document]
+        raw, numbers = chunk.data.tobytes(), {}
+        ends = self.start + self.count + LENGTH - 1
+        self.of = np.array([numbers.setdefault(raw[b:e], len(numbers)) for b, e in zip(self.start.tolist(), ends.tolist(), strict=True)], np.int64)
+        self.texts = list(numbers)
+        order = np.lexsort((self.place, self.id, self.of))
+        self.first = order[np.concatenate(([True], self.of[order][1:] != self.of[order][:-1]))] if len(order) else order
+
+    def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The earliest contexts in the order of their anchors' buckets, and where each bucket's begin."""
+        order, edges = split_by(bucket_of(self.anchor[self.first], buckets), buckets)
+        return self.first[order], edges
+
+
 RECORD = np.dtype([("anchor", "<u8"), ("id", "<i8"), ("place", "<i8"), ("count", "u1")])
 STRING = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8"), ("place", "<i8")])
 
@@ -179,18 +200,15 @@ STRING = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8"), ("place", "<i8")])
 def context_payloads(chunk: Chunk, contexts: Contexts, kind: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
     """Contexts with their bytes, and hot strings by their hashes, to the buckets that judge them."""
     out = []
-    mine = np.flatnonzero(kind == 1)
-    order, edges = split_by(bucket_of(contexts.anchor[mine], buckets), buckets)
-    mine = mine[order]
+    plain = Plain(chunk, contexts, kind)
+    mine, edges = plain.by_bucket(buckets)
     records = np.empty(len(mine), RECORD)
-    records["anchor"], records["count"] = contexts.anchor[mine], contexts.count[mine]
-    records["id"] = chunk.ids[contexts.document[mine]]
-    records["place"] = contexts.start[mine] - chunk.begins[contexts.document[mine]]
-    raw = chunk.data.tobytes()
-    begins, ends = contexts.start[mine].tolist(), (contexts.start[mine] + contexts.count[mine] + LENGTH - 1).tolist()
+    records["anchor"], records["count"] = plain.anchor[mine], plain.count[mine]
+    records["id"], records["place"] = plain.id[mine], plain.place[mine]
+    of = plain.of[mine].tolist()
     for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
         lo, hi = edges[b], edges[b + 1]
-        out.append((2 * b, records[lo:hi].tobytes() + b"".join(raw[begins[k] : ends[k]] for k in range(lo, hi))))
+        out.append((2 * b, records[lo:hi].tobytes() + b"".join(plain.texts[k] for k in of[lo:hi])))
     hot = Hot(chunk, contexts, kind)
     order, edges = split_by(bucket_of(hot.hashes[:, 0], buckets), buckets)
     strings = np.empty(len(order), STRING)
@@ -326,16 +344,28 @@ def repeated_hot(payloads: list[bytes]) -> list[bytes]:
 def removed_bytes(chunk: Chunk, contexts: Contexts, kind: np.ndarray, judged: dict[int, bytes], buckets: int) -> np.ndarray:
     """A mark on every byte of a chunk that goes."""
     marks = np.zeros(len(chunk.data) + 1, np.int32)
-    mine = np.flatnonzero(kind == 1)
-    order, edges = split_by(bucket_of(contexts.anchor[mine], buckets), buckets)
-    mine = mine[order]
+    plain = Plain(chunk, contexts, kind)
+    first = plain.first[plain.of]
+    later = (plain.id != plain.id[first]) | (plain.place != plain.place[first])
+    np.add.at(marks, plain.start[later], 1)  # all strings of a later copy
+    np.add.at(marks, (plain.start + plain.count + LENGTH - 1)[later], -1)
+    twins: dict[int, list[int]] = {}  # rows that repeat an id may have the same context at the same place
+    for k in np.flatnonzero(~later & (first != np.arange(len(first)))).tolist():
+        twins.setdefault(int(first[k]), []).append(k)
+    mine, edges = plain.by_bucket(buckets)
     for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
         part = mine[edges[b] : edges[b + 1]]
-        count = contexts.count[part]
-        starts = np.repeat(contexts.start[part] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        bits = np.unpackbits(np.frombuffer(judged[2 * b], np.uint8), count=len(starts)).astype(bool)
-        np.add.at(marks, starts[bits], 1)
-        np.add.at(marks, starts[bits] + LENGTH, -1)
+        count = plain.count[part]
+        offsets = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        bits = np.unpackbits(np.frombuffer(judged[2 * b], np.uint8), count=len(offsets)).astype(bool)
+        starts = (np.repeat(plain.start[part], count) + offsets)[bits]
+        if twins:
+            owner, at = np.repeat(part, count)[bits], offsets[bits]
+            for k in part.tolist():
+                for twin in twins.get(k, ()):
+                    starts = np.append(starts, plain.start[twin] + at[owner == k])
+        np.add.at(marks, starts, 1)
+        np.add.at(marks, starts + LENGTH, -1)
     hot = Hot(chunk, contexts, kind)
     if len(hot.of):
         order, edges = split_by(bucket_of(hot.hashes[:, 0], buckets), buckets)
