@@ -21,7 +21,7 @@ CONTRACTIONS = ("'re", "'ve", "'ll")
 
 #: White space other than a space and a line feed, as any of the libraries sees it.
 ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
-#: Pieces kept by a worker; beyond that it forgets them all and begins anew.
+#: Pieces that a worker keeps, about.
 KEPT = 600_000
 #: Bytes at the start of a piece whose prefixes are kept.
 SHARED = 6
@@ -155,16 +155,20 @@ class Encoder:
 
 
 class Remembered(dict):
-    """A function's results by argument, forgotten when there are more than KEPT."""
+    """A function's results by argument.  Beyond KEPT of them, those that aren't asked for until there are KEPT new ones are forgotten."""
 
     def __init__(self, function) -> None:
         super().__init__()
-        self.function = function
+        self.function, self.older = function, {}
 
     def __missing__(self, key):
         if len(self) >= KEPT:
+            self.older = dict(self)
             self.clear()
-        found = self[key] = self.function(key)
+        found = self.older.pop(key, None)
+        if found is None:
+            found = self.function(key)
+        self[key] = found
         return found
 
 
