@@ -9,6 +9,8 @@ Sequence ids are gapless: buckets by falling length, in a bucket by cells of the
 piece's hash and in a cell by document and start.  Only the number of pieces by
 length and cell reaches the driver.
 
+Ids are little-endian unsigned 32-bit numbers on the machines that Spark runs on.
+
 Defined cases: a null text is empty and has the closing id alone; texts are
 encoded whole; equal rows give pieces each of their own; no rows give none; other
 columns are not read.
@@ -17,16 +19,18 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Remembered, spaced_apart
+from .bpe import PIECES, Remembered, byte_letters, spaced_apart
 from .tables import checkpointed
 from .token_counts import vocabulary
 from .worker import kept
@@ -40,20 +44,35 @@ def binary_lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+def word_engine(text: str) -> Callable[[str], list[int]] | None:
+    """tiktoken's merging of single words under the same vocabulary, several times as fast; None where its ids don't follow the order of merges, by which that engine goes."""
+    import tiktoken
+
+    spec, letters = json.loads(text), byte_letters()
+    ranks = {bytes(letters[c] for c in word): number for word, number in spec["model"]["vocab"].items() if all(c in letters for c in word)}
+    pairs = (merge.split(" ") if isinstance(merge, str) else merge for merge in spec["model"]["merges"])
+    merged = [ranks.get(bytes(letters[c] for c in a + b), -1) for a, b in pairs]
+    for added in spec["added_tokens"]:
+        ranks.pop(added["content"].encode(), None)
+    if merged != sorted(set(merged)) or merged[:1] == [-1]:
+        return None
+    return tiktoken.Encoding("words", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def identifier(text: str) -> Callable[[str], bytes]:
-    """A function that gives a text's ids, four bytes each, by the `tokenizers` library.  Words that stand between single spaces are encoded apart, which gives the same, and kept."""
+    """A function that gives a text's ids, four bytes each, as the `tokenizers` library does.  Words that stand between single spaces are encoded apart, which gives the same, and kept."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     name = hashlib.md5(text.encode()).hexdigest()
     library = kept(f"library_{name}", lambda: Tokenizer.from_str(text))
     added = kept(f"added_{name}", lambda: [x.content for x in library.get_added_tokens_decoder().values()])
+    engine = kept(f"engine_{name}", lambda: word_engine(text)) or (lambda part: library.encode(part, add_special_tokens=False).ids)
 
     def encoded(part: str) -> bytes:
-        ids = library.encode(part, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", library.encode(part, add_special_tokens=False).ids).tobytes()
 
-    after_space = kept(f"ids_{name}", lambda: Remembered(lambda word: encoded(" " + word)))
+    after_space = kept(f"ids_{name}", lambda: Remembered(lambda word: array("I", engine(" " + word)).tobytes()))
 
     def ids_of(document: str) -> bytes:
         if not spaced_apart(document) or any(x in document for x in added):
