@@ -86,8 +86,11 @@ class Chunk:
 
 
 def buckets_of(df: DataFrame) -> int:
-    """Four for each partition of a shuffle, so that partitions get much the same."""
-    return 4 * parallelism(df.sparkSession)
+    """Eight for each partition of a shuffle: partitions get much the same, and a worker holds a small share of one at a time.
+
+    A chunk has a row for each bucket that it asks, but never more rows than hashes.
+    """
+    return 8 * parallelism(df.sparkSession)
 
 
 def ask(chunks: DataFrame, question: Callable[[dict], list[tuple[int, bytes]]]) -> DataFrame:
