@@ -92,6 +92,15 @@ def test_template_lines_go(spark):
     assert found == {1: "First story\nMore", 2: "Second story", 3: whole.format("Alone"), 4: whole.format("No address"), 5: "", 6: whole.format("Copy"), 7: whole.format("Copy"), 8: "T\nMade with care"}
 
 
+def test_template_lines_in_articles_go(spark):
+    page = lambda *lines: "<article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article>"
+    rows = [(k, f"http://h.com/a/p{k}", page(f"Story {k}", f"More {k}", "Share this", *(["Quoted"] if k < 3 else []), f"End {k}")) for k in range(1, 7)]
+    rows += [(k, f"http://c.com/a/p{k}", page("Copy", "of", "one")) for k in range(11, 15)] + [(k, f"http://two.com/a/p{k}", page(f"Own {k}", "Quoted")) for k in (21, 22)]
+    found = {r.page_id: r.text for r in page_differencing.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    stories = {k: f"Story {k}\nMore {k}\n" + ("Quoted\n" if k < 3 else "") + f"End {k}" for k in range(1, 7)}
+    assert found == stories | {k: "Copy\nof\none" for k in range(11, 15)} | {k: f"Own {k}\nQuoted" for k in (21, 22)}
+
+
 def test_disguises_are_restored():
     words = {"idiot": 40, "stupid": 40, "window": 30, "table": 30, "steel": 30, "moral": 20, "nation": 20, "good": 30}
     model = Model(trigrams(words.items()))

@@ -7,10 +7,11 @@ lines outside article elements are aligned by longest common subsequence, and li
 they share, the site's template, are deleted.  What the page itself marks as menu,
 footer, advert, notice, form or comments goes too.
 
-Lines in a page's own article or main element aren't deleted for being shared:
-two articles may quote the same line, and a page may be a copy of its neighbour.
-A page that has such an element has its main text there.  A page without keeps all
-its lines where the neighbour shares nearly all, since then that is a copy.
+A page that has an article or main element has its main text there.  Its lines are
+aligned with those in the elements of the NEAR pages before and after it, and a line
+is template if all of them share it, two at least: two articles may quote the same
+line, and a page may be a copy of its neighbour, so copies don't count.  A page without
+keeps all its lines where the neighbour shares nearly all, since then that is a copy.
 
 Defined cases: a null or empty page has an empty text; a null URL has no neighbour,
 nor has the only page of a host; pages with equal paths are ordered by id; repeated
@@ -31,6 +32,8 @@ from .html_blocks import blocks
 
 #: The share of a page's unmarked lines from which a neighbour that has them too is a copy.
 COPY = 0.9
+#: Pages on each side by which lines in articles are judged.
+NEAR = 2
 
 
 def common_subsequence(a: list[int], b: list[int]) -> list[int]:
@@ -57,33 +60,37 @@ def common_subsequence(a: list[int], b: list[int]) -> list[int]:
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, the lines that may be main text, whether they stand in an article, and checksums of the lines outside articles."""
+    """page_id, url, the lines that may be main text, whether they stand in an article, and checksums of those in and of all outside articles."""
+
+    def checksum(text: str) -> int:
+        return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, inside, outer = [], [], []
+            lines, inside, inner, outer = [], [], [], []
             for page in batch.column(2).to_pylist():
                 found = blocks(page or "")
                 article = any(b.inside and not b.beside for b in found)
                 lines.append([b.text for b in found if not b.beside and b.inside == article])
                 inside.append(article)
-                outer.append([zlib.crc32(b.text.encode("utf-8", "surrogatepass")) for b in found if not b.inside and (article or not b.beside)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.list_(pa.string())), pa.array(inside, pa.bool_()), pa.array(outer, pa.list_(pa.int64()))], names=["page_id", "url", "lines", "marked", "outer"])
+                inner.append([checksum(x) for x in lines[-1]] if article else [])
+                outer.append([checksum(b.text) for b in found if not b.inside and (article or not b.beside)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.list_(pa.string())), pa.array(inside, pa.bool_()), pa.array(inner, pa.list_(pa.int64())), pa.array(outer, pa.list_(pa.int64()))], names=["page_id", "url", "lines", "marked", "inner", "outer"])
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(parsed, "page_id long, url string, lines array<string>, marked boolean, outer array<long>")
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(parsed, "page_id long, url string, lines array<string>, marked boolean, inner array<long>, outer array<long>")
 
 
 def with_neighbours(pages: DataFrame) -> DataFrame:
-    """Pages and the outer lines of their neighbours before and after, with the paths."""
+    """Pages and the checksums of their neighbours before and after, nearest first, with the paths."""
     bare = F.regexp_replace("url", "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     pages = pages.withColumn("host", F.lower(F.regexp_extract(bare, "^[^/?#]*", 0)))
     pages = pages.withColumn("path", F.regexp_extract(F.regexp_replace(bare, "^[^/?#]*", ""), "^[^?#]*", 0))
     group = F.regexp_extract("path", "^(.*/)?[^/]?", 0)
     order = Window.partitionBy("host", "group").orderBy("path", "page_id")
-    one = F.struct("path", "outer")
+    one = F.struct("path", "inner", "outer")
     known = pages.filter("url IS NOT NULL").withColumn("group", group)
-    known = known.withColumns({"before": F.lag(one).over(order), "after": F.lead(one).over(order)}).drop("group", "host")
-    none = F.lit(None).cast("struct<path:string,outer:array<bigint>>")
+    known = known.withColumns({"before": F.array(*(F.lag(one, k).over(order) for k in range(1, NEAR + 1))), "after": F.array(*(F.lead(one, k).over(order) for k in range(1, NEAR + 1)))}).drop("group", "host")
+    none = F.lit(None).cast("array<struct<path:string,inner:array<bigint>,outer:array<bigint>>>")
     unknown = pages.filter("url IS NULL").withColumns({"before": none, "after": none}).drop("host")
     return known.unionByName(unknown)
 
@@ -92,6 +99,13 @@ def agreement(a: str, b: str) -> int:
     return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
+def repeated(inner: list[int], near: list[list[int]]) -> set[int]:
+    """Places of an article's lines that the articles near it share, all that aren't copies and two at least."""
+    found = [set(common_subsequence(inner, other)) for other in near if other]
+    telling = [places for places in found if len(places) < COPY * len(inner)]
+    return set.intersection(*telling) if len(telling) > 1 else set()
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page, and n_shared: template lines found by its neighbour."""
 
@@ -99,10 +113,14 @@ def main_texts(pages: DataFrame) -> DataFrame:
         for batch in batches:
             texts, shared_lines = [], []
             for row in batch.to_pylist():
-                near = max((x for x in (row["before"], row["after"]) if x), key=lambda x: agreement(row["path"], x["path"]), default=None)
+                before, after = ([x for x in row[side] or () if x] for side in ("before", "after"))
+                near = max(before[:1] + after[:1], key=lambda x: agreement(row["path"], x["path"]), default=None)
                 shared = common_subsequence(row["outer"], near["outer"]) if near else []
                 lines = row["lines"]
-                if not row["marked"] and len(shared) < COPY * len(lines):
+                if row["marked"]:
+                    gone = repeated(row["inner"], [x["inner"] for x in before + after])
+                    lines = [line for k, line in enumerate(lines) if k not in gone]
+                elif len(shared) < COPY * len(lines):
                     gone = set(shared)  # of such a page the lines are the outer lines
                     lines = [line for k, line in enumerate(lines) if k not in gone]
                 texts.append("\n".join(lines))
