@@ -8,6 +8,7 @@ from tests.llm import brute
 from tidemark.llm import components as cc
 from tidemark.llm import jaccard_join, suffix_dedup
 from tidemark.llm.queries import QUERIES
+from tidemark.llm.signature_tree import Members, Node
 from tidemark.llm.tables import table
 
 
@@ -67,6 +68,28 @@ def test_components_on_the_table(spark, sf_dir):
     assert found == brute.components(docs)
 
 
+def test_tree_of_mixed_sizes():
+    rng = np.random.default_rng(6)
+    passages = [rng.choice(1 << 62, 50, replace=False).astype(np.uint64) for _ in range(24)]
+    sets = []
+    for _ in range(150):
+        own = np.unique(np.concatenate([passages[k] for k in rng.choice(24, rng.integers(1, 21), replace=False)]))
+        sets += [own, np.unique(np.concatenate((own[3:], rng.choice(1 << 62, 3).astype(np.uint64))))]
+    sizes = [len(x) for x in sets]
+    members, plain = Members(sets, sizes, 80, 100), Members(sets, sizes, 80, 100)
+    tree = members.tree(list(range(len(sets))))
+    members.walk(tree, tree)
+    for a in range(len(sets)):
+        for b in range(a):
+            plain.compare(a, b)
+    roots = {(members.root(k), plain.root(k)) for k in range(len(sets))}
+    assert len(roots) == len({a for a, _ in roots}) == len({b for _, b in roots})
+    low, high = Node([]), Node([])
+    for node in (low, high):
+        node.bitmap, node.excess, node.least, node.most = np.packbits(np.arange(4096) < 360).view(np.uint64), 0, 50, 1000
+    assert members.possible(low, high)
+
+
 def test_chains_of_near_copies(spark):
     rng = random.Random(3)
     words = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]

@@ -5,7 +5,7 @@ holds the OR of its children's bitmaps, the range of their sizes, and the most
 tokens by which a set below it exceeds its bits.  Sets below two nodes have no more
 tokens in common than the nodes have bits in common plus that excess, nor than the
 smaller one has tokens.  Two trees are walked together, and a pair of nodes is left
-when that can't make a similarity of `part` / `whole`.
+when that can't make a similarity of `part` / `whole` for sets of any size in both ranges.
 """
 
 from __future__ import annotations
@@ -60,13 +60,10 @@ class Members:
 
     def possible(self, x: Node, y: Node) -> bool:
         """Whether sets below both nodes may be similar enough."""
-        # sizes of the ranges that come closest to each other
-        low, high = (x, y) if x.most <= y.most else (y, x)
-        a = min(low.most, high.most)
-        b = max(a, high.least)
         common = int(np.bitwise_count(x.bitmap & y.bitmap).sum()) + min(x.excess, y.excess)
-        # the union has as many tokens as the larger set at least
-        return self.whole * min(a, common) >= self.part * max(b, x.least, y.least)
+        # the overlap is at most this; the union has as many tokens as the overlap and as the larger set at least
+        most = min(x.most, y.most, common)
+        return self.whole * most >= self.part * max(most, x.least, y.least)
 
     def joined(self, node: Node) -> bool:
         """Whether all sets below are linked to each other already; that stays so."""
