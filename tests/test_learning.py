@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.models.families import FAMILIES, build, linear_contributions, permutation_contributions
 from tidemark.plans import dataset, evaluation
 from tidemark.plans.experiments import prepare_split, run_once, summary
+from tidemark.plans.imputation import impute_nearest
 from tidemark.streaming.states import running_states, windowed_counts
 
 
@@ -31,6 +32,15 @@ def test_split_fits_on_training_rows_alone(rows):
     assert median == pytest.approx(0, abs=1e-9) and split.test.filter("y IS NULL OR kind_share IS NULL").count() == 0
 
 
+def test_imputation_searches_all_known_rows(spark):
+    n = 60_000
+    rows = spark.range(n).select(F.col("id").alias("k"), F.col("id").cast("double").alias("x"), F.when(F.col("id") % 3000 != 7, F.col("id") * 2.0).alias("y"))
+    odd = spark.createDataFrame([(n, None, None), (n + 1, None, None)], "k long, x double, y double")
+    found = {r.k: r.y for r in impute_nearest(rows.union(odd), "k", ["x"], "y").filter(f"k % 3000 = 7 OR k >= {n}").collect()}
+    # the two rows on each side, and of the third ones the one of smaller key
+    assert found == {k: 2.0 * (5 * k - 3) / 5 for k in range(7, n, 3000)} | {n: 4.0, n + 1: 4.0}
+
+
 @pytest.mark.parametrize("family", ["lr", "dt", "svm"])
 def test_families_learn(spark, rows, family):
     split = prepare_split(rows, [], ["x"], seed=2)

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Training rows that are sent to every worker at most; `fit_rows` names a smaller bound.
-FIT_ROWS = 50_000
+#: Rows to be filled whose distances to a tile of known rows are held at a time.
+ROWS_AT_ONCE = 128
 
 
 def distances(rows: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -27,27 +27,53 @@ def distances(rows: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
-def impute_nearest(df: DataFrame, key: str, features: Sequence[str], value: str, neighbours: int = 5, train: DataFrame | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
+def tiles(rows: DataFrame, prefix: str) -> DataFrame:
+    """The rows of each batch as one row with an array for each column."""
+    columns = rows.columns
+    names = [f"{prefix}{c}" for c in columns]
+
+    def tiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({n: [batch[c].to_numpy()] for n, c in zip(names, columns, strict=True)})
+
+    return rows.mapInPandas(tiled, T.StructType([T.StructField(n, T.ArrayType(f.dataType)) for n, f in zip(names, rows.schema.fields, strict=True)]))
+
+
+def impute_nearest(df: DataFrame, key: str, features: Sequence[str], value: str, neighbours: int = 5, train: DataFrame | None = None) -> DataFrame:
     """`df` with missing `value`s replaced by the mean over the nearest training rows that have one; equally near ones by their key.
 
-    Fitted on at most `fit_rows` training rows, those of least hash; every row is
-    imputed.  Without known values nothing is.
+    All known rows are searched, a tile at a time; the nearest of each tile are merged
+    for every distinct point.  Without known values nothing is imputed.
     """
-    known = (df if train is None else train).filter(F.col(value).isNotNull()).select(key, *features, value)
-    fitted = known.orderBy(F.xxhash64(key)).limit(fit_rows).toPandas().sort_values(key)
-    sent = df.sparkSession.sparkContext.broadcast((fitted[list(features)].to_numpy(float), fitted[value].to_numpy(float)))
+    names = [f"_f{k}" for k in range(len(features))]
+    points = [F.col(c).cast("double").alias(n) for c, n in zip(features, names, strict=True)]
+    known = (df if train is None else train).filter(F.col(value).isNotNull()).select(F.col(key).alias("_key"), *points, F.col(value).cast("double").alias("_value"))
+    missing = df.filter(F.col(value).isNull()).select(*points).distinct()
+    pairs = tiles(missing, "asked").crossJoin(tiles(known, "known"))
 
-    def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points, values = sent.value
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            missing = batch[value].isna().to_numpy()
-            if missing.any() and len(values):
-                out = batch[value].to_numpy(float).copy()
-                rows = batch.loc[missing, list(features)].to_numpy(float)
-                nearest = np.argsort(distances(rows, points), axis=1, kind="stable")[:, :neighbours]
-                out[missing] = values[nearest].mean(axis=1)
-                batch = batch.assign(**{value: out})
-            yield batch
-
-    schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name == value else f.dataType) for f in df.schema.fields])
-    return df.mapInPandas(filled, schema)
+            for pair in batch.to_dict("records"):
+                keys = np.asarray(pair["known_key"])
+                order = np.argsort(keys, kind="stable")
+                keys, values = keys[order], np.asarray(pair["known_value"], float)[order]
+                fitted = np.column_stack([np.asarray(pair[f"known{n}"], float) for n in names])[order]
+                asked = np.column_stack([np.asarray(pair[f"asked{n}"], float) for n in names])
+                for start in range(0, len(asked), ROWS_AT_ONCE):
+                    rows = asked[start : start + ROWS_AT_ONCE]
+                    far = distances(rows, fitted)
+                    found = np.argsort(far, axis=1, kind="stable")[:, :neighbours]
+                    width = found.shape[1]
+                    out = {n: np.repeat(rows[:, k], width) for k, n in enumerate(names)}
+                    yield pd.DataFrame(out | {"_far": np.take_along_axis(far, found, 1).ravel(), "_key": keys[found.ravel()], "_value": values[found.ravel()]})
+
+    doubles = [T.StructField(n, T.DoubleType()) for n in (*names, "_far")]
+    partial = pairs.mapInPandas(nearest, T.StructType([*doubles, known.schema["_key"], T.StructField("_value", T.DoubleType())]))
+    # a null coordinate, or one that is no number, comes back null
+    merged = partial.groupBy(*(F.coalesce(n, F.lit(float("nan"))).alias(n) for n in names)).agg(F.slice(F.array_sort(F.collect_list(F.struct("_far", "_key", "_value"))), 1, neighbours).alias("_near"))
+    means = merged.select(*names, (F.aggregate("_near", F.lit(0.0), lambda a, x: a + x["_value"]) / F.size("_near")).alias("_mean"))
+    placed = df.filter(F.col(value).isNull()).select("*", *(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(n) for c, n in zip(features, names, strict=True)))
+    out = [F.coalesce(F.col(c).cast("double"), F.col("_mean")).alias(c) if c == value else F.col(c) for c in df.columns]
+    given = df.filter(F.col(value).isNotNull()).withColumn("_mean", F.lit(None).cast("double"))
+    return given.select(*out).unionByName(placed.join(means, names, "left").select(*out))
