@@ -101,6 +101,15 @@ def test_template_lines_in_articles_go(spark):
     assert found == stories | {k: "Copy\nof\none" for k in range(11, 15)} | {k: f"Own {k}\nQuoted" for k in (21, 22)}
 
 
+@pytest.mark.parametrize("block", [page_differencing.BLOCK, 2])
+def test_neighbours_of_a_whole_host(spark, block, monkeypatch):
+    monkeypatch.setattr(page_differencing, "BLOCK", block)
+    page = lambda k: "".join(f"<p>Menu {j}</p>" for j in range(20)) + f"<p>Story {k}</p><p>More {k}</p>"
+    rows = [(k, f"http://h.com/2024/{k}/slug{'/' * (k % 2)}", page(k)) for k in range(40)] + [(50, "http://c.com/a/", "<p>Copy</p>"), (51, "http://c.com/b/", "<p>Copy</p>")]
+    found = {r.page_id: r.text for r in page_differencing.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {k: f"Story {k}\nMore {k}" for k in range(40)} | {50: "Copy", 51: "Copy"}
+
+
 def test_disguises_are_restored():
     words = {"idiot": 40, "stupid": 40, "window": 30, "table": 30, "steel": 30, "moral": 20, "nation": 20, "good": 30}
     model = Model(trigrams(words.items()))

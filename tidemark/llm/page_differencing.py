@@ -1,17 +1,19 @@
 """Main text of web pages: nearest-URL page differencing.
 
-Pages of one host are put in the order of their paths, within the directory and
-first letter of the last part so that a large host falls into many groups.  A
-page's neighbour is the one before or after it whose path agrees longer.  Their
-lines outside article elements are aligned by longest common subsequence, and lines
-they share, the site's template, are deleted.  What the page itself marks as menu,
-footer, advert, notice, form or comments goes too.
+Pages of one host are put in the order of their paths.  A page's neighbour is the one
+before or after it whose path agrees longer.  Their lines outside article elements are
+aligned by longest common subsequence, and lines they share, the site's template, are
+deleted.  What the page itself marks as menu, footer, advert, notice, form or comments
+goes too.  So that a large host falls into many blocks, pages whose hash says so start
+one, and the NEAR pages on each side of a border are shown to both blocks.
 
 A page that has an article or main element has its main text there.  Its lines are
 aligned with those in the elements of the NEAR pages before and after it, and a line
 is template if all of them share it, two at least: two articles may quote the same
 line, and a page may be a copy of its neighbour, so copies don't count.  A page without
-keeps all its lines where the neighbour shares nearly all, since then that is a copy.
+is judged by the nearest page that doesn't share nearly all its lines.  Where all do,
+those that both have lines of their own decide, and what all of them share is template;
+where there are none either, it is a copy and keeps its lines.
 
 Defined cases: a null or empty page has an empty text; a null URL has no neighbour,
 nor has the only page of a host; pages with equal paths are ordered by id; repeated
@@ -25,15 +27,20 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .html_blocks import blocks
 
-#: The share of a page's unmarked lines from which a neighbour that has them too is a copy.
+#: The share of a page's lines from which a neighbour that has them too is a copy.
 COPY = 0.9
-#: Pages on each side by which lines in articles are judged.
+#: Pages on each side by which lines are judged.
 NEAR = 2
+#: Pages to a block of a host, about; most blocks of all hosts, about.
+BLOCK, BLOCKS = 64, 16_384
+#: Stands for a null id, which comes first.
+LEAST_ID = -(1 << 63)
 
 
 def common_subsequence(a: list[int], b: list[int]) -> list[int]:
@@ -59,8 +66,8 @@ def common_subsequence(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def parsed_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, the lines that may be main text, whether they stand in an article, and checksums of those in and of all outside articles."""
+def parsed_pages(pages: DataFrame, borders: Broadcast) -> DataFrame:
+    """page_id, url, the lines that may be main text, whether they stand in an article, and checksums of those in and of all outside articles.  Rows are given once more, without lines, to the blocks at whose border they stand."""
 
     def checksum(text: str) -> int:
         return zlib.crc32(text.encode("utf-8", "surrogatepass"))
@@ -75,23 +82,81 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
                 inside.append(article)
                 inner.append([checksum(x) for x in lines[-1]] if article else [])
                 outer.append([checksum(b.text) for b in found if not b.inside and (article or not b.beside)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.list_(pa.string())), pa.array(inside, pa.bool_()), pa.array(inner, pa.list_(pa.int64())), pa.array(outer, pa.list_(pa.int64()))], names=["page_id", "url", "lines", "marked", "inner", "outer"])
-
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(parsed, "page_id long, url string, lines array<string>, marked boolean, inner array<long>, outer array<long>")
+            places = [place(borders.value, *x) for x in zip(*(batch.column(k).to_pylist() for k in (3, 4, 0)), strict=True)]
+            rows = pa.array([k for k, (_, shown) in enumerate(places) for _ in range(1 + len(shown))], pa.int64())
+            blocks_of = [b for own, shown in places for b in (own, *shown)]
+            guest = [g for _, shown in places for g in (False, *(True for _ in shown))]
+            lines = [[] if g else lines[k] for k, g in zip(rows.to_pylist(), guest, strict=True)]
+            inside, inner, outer = ([x[k] for k in rows.to_pylist()] for x in (inside, inner, outer))
+            batch = batch.take(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(blocks_of, pa.int32()), pa.array(guest, pa.bool_()), pa.array(lines, pa.list_(pa.string())), pa.array(inside, pa.bool_()), pa.array(inner, pa.list_(pa.int64())), pa.array(outer, pa.list_(pa.int64()))], names=["page_id", "url", "host", "path", "block", "guest", "lines", "marked", "inner", "outer"])
+
+    return pages.select("page_id", "url", "html", "host", "path").mapInArrow(parsed, "page_id long, url string, host string, path string, block int, guest boolean, lines array<string>, marked boolean, inner array<long>, outer array<long>")
+
+
+def place(borders: dict[str, tuple[list, dict]], host: str | None, path: str | None, page_id: int | None) -> tuple[int, list[int]]:
+    """A page's block in its host, and the other blocks that it is shown to."""
+    starts, shown = borders.get(host, ((), {}))
+    key = (path, LEAST_ID if page_id is None else page_id)
+    return bisect.bisect_right(starts, key), shown.get(key, [])
+
+
+def block_borders(pages: DataFrame) -> dict[str, tuple[list, dict]]:
+    """By host of several blocks where they start, and the pages near a border with the blocks that they are shown to."""
+    spark = pages.sparkSession
+    keys = pages.select("host", "path", F.coalesce("page_id", F.lit(LEAST_ID)).alias("id"))
+    every = max(BLOCK, -(-keys.count() // BLOCKS))
+    starts: dict[str, list] = {}
+    for host, path, i in keys.filter(F.pmod(F.xxhash64("host", "path", "id"), F.lit(every)) == 0).distinct().collect():  # BLOCKS rows, about
+        starts.setdefault(host, []).append((path, i))
+    for own in starts.values():
+        own.sort()
+    sent = spark.sparkContext.broadcast({host: (own, {}) for host, own in starts.items()})
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # each block's first and last pages, so many as are shown
+        found: dict[tuple[str, int], tuple[list, list]] = {}
+        for batch in batches:
+            for host, path, i in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if host in sent.value:
+                    low, high = found.setdefault((host, place(sent.value, host, path, i)[0]), ([], []))
+                    low[:] = sorted({*low, (path, i)})[:NEAR]
+                    high[:] = sorted({*high, (path, i)})[-NEAR:]
+        out = [(h, b, p, i) for (h, b), sides in found.items() for p, i in sorted({*sides[0], *sides[1]})]
+        columns = zip(*out, strict=True) if out else ((),) * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["host", "block", "path", "id"])
+
+    one = F.struct("path", "id")
+    found = keys.mapInArrow(ends, "host string, block int, path string, id long").distinct()
+    up, down = Window.partitionBy("host", "block").orderBy("path", "id"), Window.partitionBy("host", "block").orderBy(F.desc("path"), F.desc("id"))
+    kept = found.withColumns({"_up": F.row_number().over(up), "_down": F.row_number().over(down)}).filter((F.col("_up") <= NEAR) | (F.col("_down") <= NEAR))
+    near: dict[str, list] = {}
+    for host, block, (path, i) in kept.select("host", "block", one).collect():  # 2 * NEAR rows a block
+        near.setdefault(host, []).append((path, i, block))
+    out = {}
+    for host, own in starts.items():
+        shown: dict[tuple, list[int]] = {}
+        ordered = sorted(near.get(host, []))
+        for k, (path, i, block) in enumerate(ordered):
+            others = {b for _, _, b in ordered[max(0, k - NEAR) : k + NEAR + 1]} - {block}
+            if others:
+                shown[path, i] = sorted(others)
+        out[host] = (own, shown)
+    return out
 
 
 def with_neighbours(pages: DataFrame) -> DataFrame:
-    """Pages and the checksums of their neighbours before and after, nearest first, with the paths."""
+    """Parsed pages and the checksums of their neighbours before and after, nearest first, with the paths."""
     bare = F.regexp_replace("url", "^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    pages = pages.withColumn("host", F.lower(F.regexp_extract(bare, "^[^/?#]*", 0)))
-    pages = pages.withColumn("path", F.regexp_extract(F.regexp_replace(bare, "^[^/?#]*", ""), "^[^?#]*", 0))
-    group = F.regexp_extract("path", "^(.*/)?[^/]?", 0)
-    order = Window.partitionBy("host", "group").orderBy("path", "page_id")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.lower(F.regexp_extract(bare, "^[^/?#]*", 0)).alias("host"), F.regexp_extract(F.regexp_replace(bare, "^[^/?#]*", ""), "^[^?#]*", 0).alias("path"))
+    addressed = pages.filter("url IS NOT NULL")
+    borders = pages.sparkSession.sparkContext.broadcast(block_borders(addressed))
+    order = Window.partitionBy("host", "block").orderBy("path", "page_id")
     one = F.struct("path", "inner", "outer")
-    known = pages.filter("url IS NOT NULL").withColumn("group", group)
-    known = known.withColumns({"before": F.array(*(F.lag(one, k).over(order) for k in range(1, NEAR + 1))), "after": F.array(*(F.lead(one, k).over(order) for k in range(1, NEAR + 1)))}).drop("group", "host")
+    known = parsed_pages(addressed, borders)
+    known = known.withColumns({"before": F.array(*(F.lag(one, k).over(order) for k in range(1, NEAR + 1))), "after": F.array(*(F.lead(one, k).over(order) for k in range(1, NEAR + 1)))}).filter("NOT guest").drop("guest", "block", "host")
     none = F.lit(None).cast("array<struct<path:string,inner:array<bigint>,outer:array<bigint>>>")
-    unknown = pages.filter("url IS NULL").withColumns({"before": none, "after": none}).drop("host")
+    unknown = parsed_pages(pages.filter("url IS NULL"), borders).withColumns({"before": none, "after": none}).drop("guest", "block", "host")
     return known.unionByName(unknown)
 
 
@@ -106,6 +171,18 @@ def repeated(inner: list[int], near: list[list[int]]) -> set[int]:
     return set.intersection(*telling) if len(telling) > 1 else set()
 
 
+def template(outer: list[int], near: list[list[int]]) -> set[int]:
+    """Places of the lines of a page without article that are template, by the pages near it, nearest first."""
+    crowded = []
+    for other in near:
+        found = set(common_subsequence(outer, other))
+        if other and len(found) < COPY * len(outer):
+            return found
+        if len(found) < min(len(outer), len(other)):
+            crowded.append(found)
+    return set.intersection(*crowded) if crowded else set()
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page, and n_shared: template lines found by its neighbour."""
 
@@ -114,17 +191,13 @@ def main_texts(pages: DataFrame) -> DataFrame:
             texts, shared_lines = [], []
             for row in batch.to_pylist():
                 before, after = ([x for x in row[side] or () if x] for side in ("before", "after"))
-                near = max(before[:1] + after[:1], key=lambda x: agreement(row["path"], x["path"]), default=None)
-                shared = common_subsequence(row["outer"], near["outer"]) if near else []
-                lines = row["lines"]
-                if row["marked"]:
-                    gone = repeated(row["inner"], [x["inner"] for x in before + after])
-                    lines = [line for k, line in enumerate(lines) if k not in gone]
-                elif len(shared) < COPY * len(lines):
-                    gone = set(shared)  # of such a page the lines are the outer lines
-                    lines = [line for k, line in enumerate(lines) if k not in gone]
+                near = sorted(before + after, key=lambda x: -agreement(row["path"], x["path"]))
+                shared = common_subsequence(row["outer"], near[0]["outer"]) if near else []
+                gone = repeated(row["inner"], [x["inner"] for x in near]) if row["marked"] else template(row["outer"], [x["outer"] for x in near])
+                # of a page without article the lines are the outer lines
+                lines = [line for k, line in enumerate(row["lines"]) if k not in gone]
                 texts.append("\n".join(lines))
                 shared_lines.append(len(shared))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(shared_lines, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_shared"])
 
-    return with_neighbours(parsed_pages(pages)).mapInArrow(differenced, "page_id long, url string, text string, n_chars long, n_shared long")
+    return with_neighbours(pages).mapInArrow(differenced, "page_id long, url string, text string, n_chars long, n_shared long")
