@@ -20,9 +20,11 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 CONTRACTIONS = ("'re", "'ve", "'ll")
 
 #: White space other than a space and a line feed, as any of the libraries sees it.
-ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
-#: Pieces that a worker keeps, about.
-KEPT = 600_000
+ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Pairs of neighbours that an encoder knows of at most; beginnings of pieces are a tenth.
+KEPT = 400_000
+#: Bytes of what is known of whole words.
+WORDS_BYTES = 96 << 20
 #: Bytes at the start of a piece whose prefixes are kept.
 SHARED = 6
 
@@ -148,44 +150,35 @@ class Encoder:
             at = m.end()
         return [x for x in [*out, (text[at:], None)] if x[0]]
 
-
     def count(self, text: str) -> int:
         """How many tokens a text has: the count at its last prefix, piece by piece."""
         return sum(1 if special is not None else sum(self.prefixes(piece.encode())[0][-1] for piece in self.pieces(part)) for part, special in self.parts(text))
 
 
-class Remembered(dict):
-    """A function's results by argument.  Beyond KEPT of them, those that aren't asked for until there are KEPT new ones are forgotten."""
-
-    def __init__(self, function) -> None:
-        super().__init__()
-        self.function, self.older = function, {}
-
-    def __missing__(self, key):
-        if len(self) >= KEPT:
-            self.older = dict(self)
-            self.clear()
-        found = self.older.pop(key, None)
-        if found is None:
-            found = self.function(key)
-        self[key] = found
-        return found
-
-
 def spaced_apart(text: str) -> bool:
     """Whether every space stands between two characters that are no white space (or at an end), so that the text can be cut before each space and the parts encoded apart."""
     return "  " not in text and " \n" not in text and "\n " not in text and not ODD_SPACE.search(text)
 
 
+def last_cut(text: str) -> int:
+    """The last place before which a text may be cut without changing its pieces, whatever follows: a space or line end after no white space.  0 if there is none."""
+    for k in range(len(text) - 1, 0, -1):
+        if text[k] in " \n" and not text[k - 1].isspace():
+            return k
+    return 0
+
+
 def prefix_counts(encoder: Encoder, text: str) -> list[int]:
     """The exact number of tokens of text[:i], for each i from 0 to its length."""
-    counts, done = [0], 0  # done: tokens of all pieces before
+    counts, done, begin = [0], 0, 0  # done: tokens of all pieces before; begin: where the text since the last added token does
     for part, special in encoder.parts(text):
         if special is not None:
-            # a prefix that cuts the added token's text has it as ordinary text after what stands before
-            base = text[: len(counts) - 1]
-            counts += [encoder.count(base + part[:k]) for k in range(1, len(part))] + [done + 1]
-            done += 1
+            # a prefix that cuts the added token's text has it as ordinary text after the last word before
+            here = len(counts) - 1
+            cut = begin + last_cut(text[begin:here])
+            word = text[cut:here]
+            counts += [counts[cut] + encoder.count(word + part[:k]) for k in range(1, len(part))] + [done + 1]
+            done, begin = done + 1, here + len(part)
             continue
         space, before_space = "", done
         for piece in encoder.pieces(part):
@@ -207,4 +200,3 @@ def prefix_counts(encoder: Encoder, text: str) -> list[int]:
                 space = ""
             done += by_byte[-1]
     return counts
-

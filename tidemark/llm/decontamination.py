@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fm_index import FMIndex
+from .tables import spare_name
+from .worker import begin
 
 WINDOW = 13
 #: Bytes of item texts in a block of phrases, and of documents in a shard, about.
@@ -131,6 +133,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, carry: list[s
         shares.append(spark.sparkContext.broadcast([(row[0], row[1]) for row in share]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("decontamination")
         one = Phrases(shares[0].value) if len(shares) == 1 else None
 
         def block_by_block() -> Iterator[Phrases]:

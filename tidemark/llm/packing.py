@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import PIECES, Remembered, byte_letters, spaced_apart
+from .bpe import PIECES, WORDS_BYTES, byte_letters, spaced_apart
 from .tables import checkpointed
 from .token_counts import vocabulary
-from .worker import kept
+from .worker import Cache, begin, kept
 
 CELLS = 4096
 
@@ -72,7 +72,7 @@ def identifier(text: str) -> Callable[[str], bytes]:
     def encoded(part: str) -> bytes:
         return array("I", library.encode(part, add_special_tokens=False).ids).tobytes()
 
-    after_space = kept(f"ids_{name}", lambda: Remembered(lambda word: array("I", engine(" " + word)).tobytes()))
+    after_space = kept(f"ids_{name}", lambda: Cache(lambda word: array("I", engine(" " + word)).tobytes(), WORDS_BYTES))
 
     def ids_of(document: str) -> bytes:
         if not spaced_apart(document) or any(x in document for x in added):
@@ -88,6 +88,7 @@ def pieces(documents: DataFrame, path: str, longest: int, closing_id: int, with_
     words = vocabulary(documents, path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("packing")
         ids_of = identifier(words.value)
         closing = struct.pack("<I", closing_id)
         for batch in batches:

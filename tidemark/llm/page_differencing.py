@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .html_blocks import blocks
+from .worker import begin
 
 #: The share of a page's lines from which a neighbour that has them too is a copy.
 COPY = 0.9
@@ -73,6 +74,7 @@ def parsed_pages(pages: DataFrame, borders: Broadcast) -> DataFrame:
         return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("pages")
         for batch in batches:
             lines, inside, inner, outer = [], [], [], []
             for page in batch.column(2).to_pylist():

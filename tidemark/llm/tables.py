@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder (`spark.checkpoint.dir`), which all executors share.  One is made only where that is unset (a local test), never on a cluster that names its own."""
+    """The session's checkpoint folder (`spark.checkpoint.dir`), which all executors share.  Where that is unset, a session within one process (a local test) gets a folder of its own; on a cluster it is an error, since other executors couldn't read one of this machine."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -29,3 +35,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """The number of partitions that the session asks of a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spare_name(name: str, taken: Iterable[str]) -> str:
+    """`name` with as many underscores before it as it takes to differ from all of `taken`, whatever their case."""
+    lower = {x.lower() for x in taken}
+    name = f"_{name}"
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
+#: Keys that are joined by broadcast because very many rows have them, at most.
+HOT_KEYS = 4096
+
+
+def joined_on_hot(rows: DataFrame, by_key: DataFrame, key: str, count: int, most: int = HOT_KEYS) -> DataFrame:
+    """Inner join of `rows`, of which there are `count`, with `by_key`, one row for each key.
+
+    A key that more than one in `most` rows have would meet in one task: those keys,
+    fewer than `most`, are joined by broadcast, the others by a shuffle.
+    """
+    hot = F.broadcast(rows.groupBy(key).count().filter(F.col("count") > max(32, count // most)).select(key))
+    few = F.broadcast(by_key.join(hot, key, "left_semi"))
+    return rows.join(few, key).unionByName(rows.join(hot, key, "left_anti").join(by_key, key))

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from .bpe import Encoder, Remembered, prefix_counts, spaced_apart
-from .worker import kept
+from .bpe import WORDS_BYTES, Encoder, prefix_counts, spaced_apart
+from .worker import Cache, begin, kept
 
 
 def vocabulary(df: DataFrame, path: str) -> Broadcast:
@@ -31,6 +31,7 @@ def vocabulary(df: DataFrame, path: str) -> Broadcast:
 
 
 def encoder_of(text: str) -> Encoder:
+    begin("token_counts")
     name = "encoder_" + hashlib.md5(text.encode()).hexdigest()
     return kept(name, lambda: Encoder(text))
 
@@ -39,7 +40,7 @@ def counter(text: str) -> Callable[[str], int]:
     """A function that counts tokens under a vocabulary."""
     encoder = encoder_of(text)
     name = hashlib.md5(text.encode()).hexdigest()
-    after_space = kept(f"counts_{name}", lambda: Remembered(lambda word: encoder.count(" " + word)))
+    after_space = kept(f"counts_{name}", lambda: Cache(lambda word: encoder.count(" " + word), WORDS_BYTES))
 
     def count(document: str) -> int:
         if not spaced_apart(document) or any(x in document for x in encoder.added):
