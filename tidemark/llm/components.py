@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import checkpointed
+from .tables import checkpointed, joined_on_hot
 
 
-def _hang(edges: DataFrame, upward: bool) -> DataFrame:
+def _hang(edges: DataFrame, count: int, upward: bool) -> DataFrame:
     """One step of alternating stars: each node's neighbours on one side, and itself, are hung on its least neighbour."""
     # (node, other): upward, the others above a node move; else the node itself and those below do
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))) if upward else edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
     least = both.groupBy("node").agg(F.min("other").alias("least")).withColumn("least", F.least("node", "least"))
-    joined = both.join(least, "node")
+    joined = joined_on_hot(both, least, "node", 2 * count)
     moved = joined.filter("other > node") if upward else joined
     hung = moved.select(F.col("least").alias("a"), F.col("other").alias("b"))
     if not upward:
@@ -25,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge (a, b); the root is the component's least node.  Edges with a null end are ignored.
 
     Stars above and below each node are drawn together in turn until nothing changes.
-    Only a count and a checksum of the edges reach the driver.
+    Only a count and a checksum of the edges reach the driver.  A node of very many
+    edges isn't gathered in one task.
     """
     pairs = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     now, seen = checkpointed(pairs), None
@@ -34,5 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         if sign == seen or not sign[0]:
             break
         seen = sign
-        now = checkpointed(_hang(_hang(now, True), False))
+        above = checkpointed(_hang(now, sign[0], True))
+        now = checkpointed(_hang(above, sign[0], False))
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

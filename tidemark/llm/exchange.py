@@ -17,9 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import checkpointed, parallelism
+from .tables import checkpointed, parallelism, spare_name
+from .worker import begin
 
 CHUNK_BYTES = 1 << 20
+#: Bytes of text for which a bucket stands at most.
+BUCKET_BYTES = 64 << 20
 #: What stands for a null document id: before all others.
 NULL_ID = -(1 << 63)
 
@@ -29,6 +32,7 @@ def pack_chunks(documents: DataFrame, carry: list[str] | None = None, chunk_byte
     carry = carry or []
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("exchange")
         task, number = TaskContext.get().partitionId() << 32, 0
         ids, texts, size, rest = [], [], 0, []
 
@@ -39,22 +43,23 @@ def pack_chunks(documents: DataFrame, carry: list[str] | None = None, chunk_byte
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()], strict=True)], names=["chunk", "ids", "sizes", "data", "rest"])
 
         for batch in batches:
-            begin = 0
+            at = 0
             others = pa.RecordBatch.from_arrays(batch.columns[2:], names=carry) if carry else batch
             for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 ids.append(NULL_ID if doc_id is None else doc_id)
                 texts.append((text or "").encode())
                 size += len(texts[-1])
                 if size >= chunk_bytes:
-                    rest.append(others.slice(begin, k + 1 - begin))
+                    rest.append(others.slice(at, k + 1 - at))
                     yield chunk()
-                    ids, texts, size, rest, number, begin = [], [], 0, [], number + 1, k + 1
-            if begin < batch.num_rows:
-                rest.append(others.slice(begin))
+                    ids, texts, size, rest, number, at = [], [], 0, [], number + 1, k + 1
+            if at < batch.num_rows:
+                rest.append(others.slice(at))
         if ids:
             yield chunk()
 
-    return checkpointed(documents.select(F.col("doc_id").cast("long").alias("_chunk_id"), F.col("text").alias("_chunk_text"), *carry).mapInArrow(packed, "chunk long, ids array<long>, sizes array<long>, data binary, rest binary"))
+    names = [spare_name(x, carry) for x in ("chunk_id", "chunk_text")]
+    return checkpointed(documents.select(F.col("doc_id").cast("long").alias(names[0]), F.col("text").alias(names[1]), *carry).mapInArrow(packed, "chunk long, ids array<long>, sizes array<long>, data binary, rest binary"))
 
 
 def streamed(batches: list[pa.RecordBatch]) -> bytes:
@@ -85,18 +90,23 @@ class Chunk:
         return [raw[b : b + n] for b, n in zip(self.begins.tolist(), self.sizes.tolist(), strict=True)]
 
 
-def buckets_of(df: DataFrame) -> int:
-    """Eight for each partition of a shuffle: partitions get much the same, and a worker holds a small share of one at a time.
+def text_bytes(documents: DataFrame) -> int:
+    return documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def buckets_of(documents: DataFrame, size: int) -> int:
+    """Eight for each partition of a shuffle, so that partitions get much the same, and as many as it takes for a bucket to stand for BUCKET_BYTES of the `size` bytes of text at most: what a worker holds at a time doesn't grow with the corpus.
 
     A chunk has a row for each bucket that it asks, but never more rows than hashes.
     """
-    return 8 * parallelism(df.sparkSession)
+    return max(8 * parallelism(documents.sparkSession), -(-size // BUCKET_BYTES))
 
 
 def ask(chunks: DataFrame, question: Callable[[dict], list[tuple[int, bytes]]]) -> DataFrame:
     """bucket, chunk and payload for each (bucket, payload) that `question` has for a chunk's row."""
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("exchange")
         for batch in batches:
             for row in range(batch.num_rows):
                 values = batch.slice(row, 1).to_pylist()[0]
@@ -114,6 +124,7 @@ def answer(questions: DataFrame, reply: Callable[[list[int], list[bytes]], list[
     """chunk and, in column `name`, its buckets' answers.  `reply` gets the chunks and payloads of one bucket, and gives one answer for each."""
 
     def replied(table: pa.Table) -> pa.Table:
+        begin("exchange")
         payloads = table.column("payload").to_pylist()
         answers = reply(table.column("chunk").to_pylist(), payloads)
         return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "answer": pa.array(answers, pa.binary())})

@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import numpy as np
 
-BITS = 4096
+#: Bits of a bitmap for each token of a middling set; fewest and most bits.
+BITS_A_TOKEN, FEWEST, MOST = 8, 1 << 10, 1 << 16
 FANOUT = 8
 
 
@@ -30,8 +31,11 @@ class Node:
 class Members:
     """Sets with the tokens that other sets may have too (sorted) and their whole sizes, and what links were found among them."""
 
-    def __init__(self, tokens: list[np.ndarray], sizes: list[int], part: int, whole: int) -> None:
-        self.tokens, self.sizes, self.part, self.whole = tokens, sizes, part, whole
+    def __init__(self, tokens: list[np.ndarray], sizes: list[int], part: int, whole: int, thorough: bool = False) -> None:
+        """thorough: pairs that are linked through others already are compared too."""
+        self.tokens, self.sizes, self.part, self.whole, self.thorough = tokens, sizes, part, whole, thorough
+        middling = int(np.median([len(t) for t in tokens])) if tokens else 0
+        self.bits = min(MOST, max(FEWEST, 1 << (BITS_A_TOKEN * middling).bit_length()))
         self.parent = list(range(len(sizes)))
         self.links: list[tuple[int, int]] = []
 
@@ -45,8 +49,8 @@ class Members:
         level = []
         for k in sorted(members, key=lambda k: (self.tokens[k][:2].tolist(), self.sizes[k])):
             leaf = Node([], k)
-            bits = np.zeros(BITS, np.uint8)
-            bits[(self.tokens[k] % BITS).astype(np.int64)] = 1
+            bits = np.zeros(self.bits, np.uint8)
+            bits[(self.tokens[k] % np.uint64(self.bits)).astype(np.int64)] = 1
             leaf.bitmap = np.packbits(bits).view(np.uint64)
             leaf.least = leaf.most = self.sizes[k]
             leaf.excess = len(self.tokens[k]) - int(bits.sum())
@@ -80,7 +84,7 @@ class Members:
             x, y = stack.pop()
             if x is y and not x.children:
                 continue
-            if self.joined(x) and self.joined(y) and self.root(x.member) == self.root(y.member):
+            if not self.thorough and self.joined(x) and self.joined(y) and self.root(x.member) == self.root(y.member):
                 continue
             if x is y:
                 stack += [(a, b) for i, a in enumerate(x.children) for b in x.children[i + 1 :]]
