@@ -125,3 +125,57 @@ def test_connected_components(spark):
     found = {r.node: r.root for r in cc.components(spark.createDataFrame(pairs, "a int, b int")).collect()}
     assert found == {x: find(x) for x in list(root)}
     assert cc.components(spark.createDataFrame([], "a int, b int")).agg(F.count("*")).first()[0] == 0
+
+
+def test_long_words_of_one_polynomial(spark):
+    """Two words of 1,024 letters that a polynomial modulo 2 ** 64 can't tell apart."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    docs = {1: one, 2: one.translate({97: "b", 98: "a"}), 3: one + "é" * 4000, 4: "a" * 4096, 5: "a" * 4096, 6: None}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(frame).collect()} == brute.components(docs)
+
+
+def test_texts_decide_where_hashes_lie(spark, monkeypatch):
+    """A tree that takes every pair for similar: only the texts can tell."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    docs = {}
+    for k in range(12):
+        own = words[:30] + [f"x{k // 3}{j}" for j in range(8)]
+        own[rng.randrange(30)] = f"n{k}"
+        docs[k] = " ".join(own)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    monkeypatch.setattr(Members, "enough", lambda self, overlap, a, b: True)
+    assert {r.doc_id: r.component_id for r in jaccard_join.similar_components(frame).collect()} == {i: c for i, (_, c) in brute.components(docs).items()}
+
+
+def test_buckets_grow_with_the_text(spark, monkeypatch, documents, awkward):
+    from tidemark.llm import exchange
+
+    assert jaccard_join.carried_bytes(1 << 30, 144) == 3 and jaccard_join.carried_bytes(64 << 20, 1) == 4
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 500)
+    monkeypatch.setattr(jaccard_join, "carried_bytes", lambda size, buckets: 5)
+    assert exchange.buckets_of(documents, 10**6) == 2000
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(documents).collect()} == brute.components(awkward)
+
+
+def test_hot_strings_are_refined():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(97, 99, (400, suffix_dedup.LENGTH)).astype(np.uint8)
+    rows[100:300] = rows[rng.integers(0, 40, 200)]
+    rows[300:, :96] = rows[0, :96]
+    bucket = suffix_dedup.refined_strings(rows)
+    texts = [r.tobytes() for r in rows]
+    order = sorted(range(400), key=lambda k: texts[k])
+    for a, b in zip(order, order[1:], strict=False):
+        assert (bucket[a] == bucket[b]) == (texts[a] == texts[b]) and bucket[a] <= bucket[b]
+
+
+@pytest.mark.parametrize("most", [2, 4096])
+def test_join_on_hot_keys(spark, most):
+    from tidemark.llm.tables import joined_on_hot
+
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(400)] + [(None, 1)], "key int, n int")
+    values = spark.createDataFrame([(k, f"v{k}") for k in range(1, 9)], "key int, v string")
+    found = sorted(tuple(r) for r in joined_on_hot(rows, values, "key", 401, most).collect())
+    assert found == sorted(tuple(r) for r in rows.join(values, "key").collect())

@@ -18,7 +18,9 @@ are judged on the input.
 
 An anchor that occurs HOT times or more (a passage in very many documents) isn't
 gathered in its bucket: its strings go one by one to the buckets of their own
-128-bit hashes, after equal ones in a chunk have been made one.
+hashes, after equal ones in a chunk have been made one, and are sorted there by the
+same refinement.  So hashes only deal strings out; bytes decide everywhere, and HOT
+changes the plan, not the result.
 
 Defined cases: a null text is empty; texts under LENGTH bytes lose nothing; rows
 with one id count as one document, so that a string at the same place in two of
@@ -36,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import NULL_ID, Chunk, answer, ask, buckets_of, by_bucket, pack_chunks, split_by, unstreamed
+from .exchange import NULL_ID, Chunk, answer, ask, buckets_of, by_bucket, pack_chunks, split_by, text_bytes, unstreamed
+from .worker import begin
 
 LENGTH = 100
 GRAM = 32
@@ -151,7 +154,7 @@ def kinds(contexts: Contexts, answers: dict[int, bytes], buckets: int) -> np.nda
 
 
 class Hot:
-    """The strings of hot contexts in a chunk, equal ones as one: hashes, document id and start of the earliest."""
+    """The strings of hot contexts in a chunk, equal ones as one: hash and bytes, document id and start of the earliest."""
 
     def __init__(self, chunk: Chunk, contexts: Contexts, kind: np.ndarray) -> None:
         mine = np.flatnonzero(kind == 2)
@@ -160,16 +163,15 @@ class Hot:
         document = np.repeat(contexts.document[mine], count)
         self.id, self.place = chunk.ids[document], self.start - chunk.begins[document]
         if not len(mine):
-            self.hashes = np.zeros((0, 2), np.uint64)
+            self.hashes, self.bytes = np.zeros(0, np.uint64), np.zeros((0, LENGTH), np.uint8)
             self.first = self.of = np.zeros(0, np.int64)
             return
-        pair = np.stack([gram_hashes(chunk.data, LENGTH, base)[self.start] for base in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)], axis=1)
-        order = np.lexsort((self.place, self.id, pair[:, 1], pair[:, 0]))
-        heads = np.concatenate(([True], (pair[order][1:] != pair[order][:-1]).any(axis=1)))
-        self.of = np.empty(len(order), np.int64)  # the class of each string
-        self.of[order] = np.cumsum(heads) - 1
-        self.first = order[heads]  # its earliest
-        self.hashes = pair[self.first]
+        strings = np.lib.stride_tricks.sliding_window_view(chunk.data, LENGTH)[self.start]
+        distinct, self.of = np.unique(strings.view(f"S{LENGTH}").ravel(), return_inverse=True)  # the class of each string
+        order = np.lexsort((self.place, self.id, self.of))
+        self.first = order[np.concatenate(([True], self.of[order][1:] != self.of[order][:-1]))]  # its earliest
+        self.bytes = strings[self.first]
+        self.hashes = gram_hashes(chunk.data, LENGTH, 0xD6E8FEB86659FD93)[self.start[self.first]]
 
 
 class Plain:
@@ -194,7 +196,7 @@ class Plain:
 
 
 RECORD = np.dtype([("anchor", "<u8"), ("id", "<i8"), ("place", "<i8"), ("count", "u1")])
-STRING = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8"), ("place", "<i8")])
+STRING = np.dtype([("id", "<i8"), ("place", "<i8"), ("bytes", "u1", LENGTH)])
 
 
 def context_payloads(chunk: Chunk, contexts: Contexts, kind: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
@@ -210,11 +212,10 @@ def context_payloads(chunk: Chunk, contexts: Contexts, kind: np.ndarray, buckets
         lo, hi = edges[b], edges[b + 1]
         out.append((2 * b, records[lo:hi].tobytes() + b"".join(plain.texts[k] for k in of[lo:hi])))
     hot = Hot(chunk, contexts, kind)
-    order, edges = split_by(bucket_of(hot.hashes[:, 0], buckets), buckets)
+    order, edges = split_by(bucket_of(hot.hashes, buckets), buckets)
     strings = np.empty(len(order), STRING)
-    first = hot.first[order].astype(np.int64)
-    strings["a"], strings["b"] = hot.hashes[order, 0], hot.hashes[order, 1]
-    strings["id"], strings["place"] = hot.id[first], hot.place[first]
+    first = hot.first[order]
+    strings["id"], strings["place"], strings["bytes"] = hot.id[first], hot.place[first], hot.bytes[order]
     for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
         out.append((2 * b + 1, strings[edges[b] : edges[b + 1]].tobytes()))
     return out
@@ -328,13 +329,31 @@ def records_in(payload: bytes) -> int:
     return int(np.searchsorted(filled, len(payload))) + 1
 
 
+def refined_strings(strings: np.ndarray) -> np.ndarray:
+    """For each row of LENGTH bytes its bucket: equal for equal rows.  Buckets of the first 8 bytes are refined by the buckets of the 8 bytes at later offsets."""
+    grams = [*range(0, LENGTH - 8, 8), LENGTH - 8]
+    bucket = identifiers(np.ascontiguousarray(strings[:, :8]).view(">u8").ravel())
+    for at in grams[1:]:
+        open_ = np.flatnonzero((np.bincount(bucket, minlength=len(bucket)) > 1)[bucket])
+        if not len(open_):
+            break
+        later = identifiers(np.ascontiguousarray(strings[open_, at : at + 8]).view(">u8").ravel())
+        order = np.lexsort((later, bucket[open_]))
+        own, ahead = bucket[open_][order], later[order]
+        new_bucket = np.concatenate(([True], own[1:] != own[:-1]))
+        new = new_bucket | np.concatenate(([True], ahead[1:] != ahead[:-1]))
+        within = np.arange(len(own)) - np.maximum.accumulate(np.where(new_bucket, np.arange(len(own)), 0))
+        bucket[open_[order]] = (own + within)[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]
+    return bucket
+
+
 def repeated_hot(payloads: list[bytes]) -> list[bytes]:
-    """The same for strings of hot anchors, by their hashes."""
+    """The same for strings of hot anchors, each by itself."""
     sizes = [len(p) // STRING.itemsize for p in payloads]
     table = np.concatenate([np.frombuffer(p, STRING) for p in payloads])
-    order = np.lexsort((table["b"], table["a"]))
-    a, b = table["a"][order], table["b"][order]
-    heads = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    bucket = refined_strings(table["bytes"])
+    order = np.argsort(bucket, kind="stable")
+    heads = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1])))
     least, place = earliest(heads, table["id"][order], table["place"][order])
     repeated = np.empty(len(order), bool)
     repeated[order] = (table["id"][order] != least) | (table["place"][order] != place)
@@ -368,7 +387,7 @@ def removed_bytes(chunk: Chunk, contexts: Contexts, kind: np.ndarray, judged: di
         np.add.at(marks, starts + LENGTH, -1)
     hot = Hot(chunk, contexts, kind)
     if len(hot.of):
-        order, edges = split_by(bucket_of(hot.hashes[:, 0], buckets), buckets)
+        order, edges = split_by(bucket_of(hot.hashes, buckets), buckets)
         repeated = np.zeros(len(order), bool)
         for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
             part = order[edges[b] : edges[b + 1]]
@@ -383,7 +402,7 @@ def removed_bytes(chunk: Chunk, contexts: Contexts, kind: np.ndarray, judged: di
 def find_repeats(documents: DataFrame, hot: int, carry: list[str]) -> tuple[DataFrame, int]:
     """Chunks with the answers to both questions, and the number of buckets."""
     chunks = pack_chunks(documents, carry)
-    buckets = buckets_of(documents)
+    buckets = buckets_of(documents, text_bytes(documents))
 
     def anchors(row: dict) -> list[tuple[int, bytes]]:
         return [(b, hashes.tobytes() + counts.tobytes()) for b, hashes, counts in asked_anchors(Contexts(Chunk(row)), buckets)]
@@ -397,6 +416,7 @@ def find_repeats(documents: DataFrame, hot: int, carry: list[str]) -> tuple[Data
         return repeated_anchors(payloads, hot)
 
     def compared(table: pa.Table) -> pa.Table:
+        begin("exchange")
         payloads = table.column("payload").to_pylist()
         answers = repeated_hot(payloads) if table.column("bucket")[0].as_py() % 2 else repeated_strings(payloads)
         return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "answer": pa.array(answers, pa.binary())})
@@ -428,6 +448,7 @@ def remove_repeats(documents: DataFrame, hot: int = HOT) -> DataFrame:
     chunks, buckets = find_repeats(documents, hot, [])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("exchange")
         types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
         for batch in batches:
             for k in range(batch.num_rows):
@@ -444,6 +465,7 @@ def shortened_documents(documents: DataFrame, hot: int = HOT) -> DataFrame:
     chunks, buckets = find_repeats(documents, hot, carry)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("exchange")
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
