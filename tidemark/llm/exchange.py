@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import checkpointed, parallelism, spare_name
+from .tables import checkpointed, parallelism, small_batches, spare_name
 from .worker import begin
 
 CHUNK_BYTES = 1 << 20
@@ -59,7 +59,7 @@ def pack_chunks(documents: DataFrame, carry: list[str] | None = None, chunk_byte
             yield chunk()
 
     names = [spare_name(x, carry) for x in ("chunk_id", "chunk_text")]
-    return checkpointed(documents.select(F.col("doc_id").cast("long").alias(names[0]), F.col("text").alias(names[1]), *carry).mapInArrow(packed, "chunk long, ids array<long>, sizes array<long>, data binary, rest binary"))
+    return checkpointed(small_batches(documents).select(F.col("doc_id").cast("long").alias(names[0]), F.col("text").alias(names[1]), *carry).mapInArrow(packed, "chunk long, ids array<long>, sizes array<long>, data binary, rest binary"))
 
 
 def streamed(batches: list[pa.RecordBatch]) -> bytes:

@@ -32,6 +32,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes, and rows, that go to a Python worker at a time.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, whose session from now on sends rows to Python workers in batches bounded by bytes, where it hasn't been set to less: long texts by the thousand would fill both sides' memory."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"(\d+)b?", str(conf.get(name, None)).lower())
+        if not now or not 0 < int(now[1]) <= most:
+            conf.set(name, str(most))
+    return df
+
+
 def parallelism(spark: SparkSession) -> int:
     """The number of partitions that the session asks of a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -21,11 +21,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from .bpe import WORDS_BYTES, Encoder, prefix_counts, spaced_apart
+from .tables import small_batches
 from .worker import Cache, begin, kept
 
 
 def vocabulary(df: DataFrame, path: str) -> Broadcast:
     """The text of a vocabulary file, for all workers; its size is that of the file, whatever the input."""
+    small_batches(df)
     with open(path, encoding="utf-8") as file:
         return df.sparkSession.sparkContext.broadcast(file.read())
 

@@ -21,16 +21,16 @@ def holder() -> types.ModuleType:
 
 
 def begin(owner: str) -> None:
-    """Called at the start of a task: what an earlier operator kept in this worker is given back, to the system too."""
+    """Called at the start of a task: what an earlier operator kept in this worker is forgotten, and free memory is given back to the system."""
     here = holder()
     if getattr(here, "owner", owner) != owner:
         vars(here).clear()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # not every C library has it
-            pass
     here.owner = owner
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
 
 
 def kept(name: str, make: Callable[[], Any]) -> Any:
