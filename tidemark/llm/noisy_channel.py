@@ -27,13 +27,13 @@ ENDS = " .,;:?\"')]}%#&<>/\\=[{"
 
 #: Three or more single characters, parted by white space or a separator.
 SPELT = re.compile(r"(?<!\S)(?:\S(?:\s{1,3}|[.\-_*~])){2,}\S(?!\S)")
-PART = re.compile(r"(\S)(?:\s{1,3}|[.\-_*~]|\Z)")
+PART = re.compile(r"(\S)(\s{1,3}|[.\-_*~]|\Z)")
 THRICE = re.compile(r"(.)\1\1")
 DISGUISED = re.compile(r"[\W\d_]|(.)\1\1")
 
 LOOKALIKE, INSERTED, SILENT, LESS, DOUBLED, KEPT = (math.log(p) for p in (0.05, 0.0005, 0.02, 0.3, 0.1, 0.01))
-#: White space within a spelt-out stretch, and between the parts of a split word: silent, or the end of a word.
-SPACING = {True: (math.log(0.8), math.log(0.2)), False: (math.log(0.02), math.log(0.98))}
+#: Spacing is silent or the end of a word: the usual one of a spelt-out stretch, another one in it, and that between the parts of a split word.
+USUAL, UNUSUAL, SPLIT = ((math.log(p), math.log(1 - p)) for p in (0.7, 0.2, 0.02))
 #: What ends a word inside a lattice.
 BREAK = " "
 
@@ -160,11 +160,10 @@ def choices(word: str) -> list[Alternatives]:
     return out
 
 
-def spaced_choices(parts: list[str], spelt: bool) -> list[Alternatives]:
-    """The lattice of parts with spacing between them, which is silent or ends a word.  spelt: the parts are single characters."""
-    silent, ending = SPACING[spelt]
+def spaced_choices(parts: list[str], spacing: list[tuple[float, float]]) -> list[Alternatives]:
+    """The lattice of parts with spacing between them, which is silent or ends a word."""
     out = choices(parts[0])
-    for part in parts[1:]:
+    for part, (silent, ending) in zip(parts[1:], spacing, strict=True):
         out += [[("", silent), (BREAK, ending)], *choices(part)]
     return out
 
@@ -218,12 +217,14 @@ def spelt_out(lower: str, model: Model) -> list[str]:
     """The words that spelt-out stretches of a text make up, by the likeliest choice of where they end."""
     out = []
     for m in SPELT.finditer(lower):
-        parts = PART.findall(m[0])
+        parts, between = zip(*PART.findall(m[0]), strict=True)
         if any(p.isalpha() for p in parts) and len(set(parts)) > 1:
-            out += [w for w in (x.strip("?") for x in decoded(spaced_choices(parts, True), model).split(BREAK)) if len(w) > 1]
+            (usual, _), *_ = Counter(between[:-1]).most_common(1)
+            spacing = [USUAL if x == usual else UNUSUAL for x in between[:-1]]
+            out += [w for w in (x.strip("?") for x in decoded(spaced_choices(list(parts), spacing), model).split(BREAK)) if len(w) > 1]
     return out
 
 
 def joins(first: str, second: str, model: Model) -> bool:
     """Whether two parts are likelier one split word than two words."""
-    return BREAK not in decoded(spaced_choices([first, second], False), model)
+    return BREAK not in decoded(spaced_choices([first, second], [SPLIT]), model)

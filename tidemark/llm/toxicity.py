@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .noisy_channel import Model, joins, plain_word, spelt_out, trigrams
-from .tables import checkpointed, parallelism, spare_name
+from .tables import checkpointed, parallelism, small_batches, spare_name
 from .worker import Cache, begin, kept
 
 TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 6_000, 24_000, 256 << 20
@@ -307,7 +307,7 @@ class Scorer:
 
 def score_texts(documents: DataFrame, labels: DataFrame, carry: list[str], name: str = "score") -> DataFrame:
     """The columns `carry` of every document, and its score in column `name`, which none of them may have."""
-    context = documents.sparkSession.sparkContext
+    context = small_batches(documents).sparkSession.sparkContext
     model = context.broadcast(letter_model(documents))
     lexicon, without = learn(sampled(documents, labels), model)
     learned = context.broadcast((lexicon, without))
