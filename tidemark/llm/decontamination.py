@@ -12,7 +12,8 @@ shorter.  They go to the workers in blocks of bounded size; a shard is searched
 one block after the other.
 
 Defined cases: a null or wordless text has no words and no hits; a null or wordless
-item has no phrase; texts are searched whole, and occurrences never cross
+item has no phrase; an item without an id hits words, but has no name by which it
+could be counted or listed; texts are searched whole, and occurrences never cross
 documents; items with equal phrases all count; equal rows give equal rows; an
 empty benchmark hits nothing; other columns are carried only if asked for.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fm_index import FMIndex
-from .tables import spare_name
+from .tables import small_batches, spare_name
 from .worker import begin
 
 WINDOW = 13
@@ -111,7 +112,7 @@ def searched(shard: list[list[str]], blocks: Iterator[Phrases]) -> tuple[list[in
             d, mine = document[at], which[at:end]
             np.add.at(marks[d], begin[at:end], 1)
             np.add.at(marks[d], begin[at:end] + phrases.lengths[mine], -1)
-            items[d].update(phrases.items[k] for row in np.unique(mine) for k in phrases.owners[row])
+            items[d].update(phrases.items[k] for row in np.unique(mine) for k in phrases.owners[row] if phrases.items[k] is not None)
     hits, spans = [], []
     for mark in marks:
         edges = np.flatnonzero(np.diff((np.cumsum(mark) > 0).astype(np.int8), prepend=0))
@@ -122,14 +123,14 @@ def searched(shard: list[list[str]], blocks: Iterator[Phrases]) -> tuple[list[in
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, carry: list[str], prefix: str = "") -> DataFrame:
     """The columns `carry` of every row of `documents`, and n_words, n_hit, spans (first word, end) and items (sorted), their names after `prefix`."""
-    spark = documents.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id IS NOT NULL")
+    spark = small_batches(documents).sparkSession
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // BLOCK_BYTES + 1
     added = T.StructType.fromDDL(f"{prefix}n_words long, {prefix}n_hit long, {prefix}spans array<array<long>>, {prefix}items array<string>")
     shares = []
     for k in range(blocks):  # each holds about BLOCK_BYTES of text
-        share = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
+        share = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         shares.append(spark.sparkContext.broadcast([(row[0], row[1]) for row in share]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +168,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, carry: list[s
             yield done(rows, shard)
 
     kept = [documents.schema[name] for name in carry]
-    return documents.select(F.col("text").alias("_searched"), *carry).mapInArrow(search, T.StructType([*kept, *added]))
+    return documents.select(F.col("text").alias(spare_name("searched", carry)), *carry).mapInArrow(search, T.StructType([*kept, *added]))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -183,5 +184,7 @@ def is_contaminated(prefix: str = "") -> Column:
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, all their columns."""
     prefix = "_found_"
+    while any(c.lower().startswith(prefix) for c in documents.columns):
+        prefix = f"_{prefix}"
     found = find_contamination(documents, benchmark, documents.columns, prefix)
     return found.filter(~is_contaminated(prefix)).select(*documents.columns)
