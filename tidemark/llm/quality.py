@@ -13,7 +13,8 @@ it is precise enough there, takes away what the rule covers, and begins again.
 Defined cases: a null or blank text has no words and all counts 0; texts of any
 length are counted whole; equal rows give equal rows; without labelled rows, or
 with labels of one kind, the list is empty and keeps every row that the base rules
-keep; a null label is not counted; other columns are not read.
+keep; labels other than 0 and 1, and null ids of labels, are not counted, and of
+several labels of one id the least counts; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,10 +41,11 @@ def text_statistics(documents: DataFrame) -> DataFrame:
     # a hash of the three words that begin at each place
     triples = F.expr("CASE WHEN size(_words) < 3 THEN CAST(array() AS array<bigint>) ELSE transform(slice(_words, 1, size(_words) - 2), (w, i) -> xxhash64(w, _words[i + 1], _words[i + 2])) END")
     rows = rows.withColumn("_triples", triples)
-    # by hash and place, where any hash comes twice; equal ones then stand together
-    by_hash = F.expr("CASE WHEN size(array_distinct(_triples)) < size(_triples) THEN sort_array(transform(_triples, (h, i) -> struct(h, i))) ELSE CAST(array() AS array<struct<h: bigint, i: int>>) END")
-    rows = rows.withColumn("_by_hash", by_hash)
-    again = F.expr("sort_array(filter(transform(_by_hash, (x, k) -> CASE WHEN (k > 0 AND x.h = _by_hash[greatest(k - 1, 0)].h) OR x.h = get(_by_hash, k + 1).h THEN x.i END), i -> i IS NOT NULL))")
+    # where any hash comes twice, by hash, words and place; equal ones then stand together, and the words decide
+    by_hash = F.expr("CASE WHEN size(array_distinct(_triples)) < size(_triples) THEN sort_array(transform(_triples, (h, i) -> struct(h, _words[i] AS a, _words[i + 1] AS b, _words[i + 2] AS c, i))) END")
+    rows = rows.withColumn("_by_hash", F.coalesce(by_hash, F.array().cast("array<struct<h:bigint,a:string,b:string,c:string,i:int>>")))
+    same = "x.h = {0}.h AND x.a = {0}.a AND x.b = {0}.b AND x.c = {0}.c"
+    again = F.expr(f"sort_array(filter(transform(_by_hash, (x, k) -> CASE WHEN (k > 0 AND {same.format('_by_hash[greatest(k - 1, 0)]')}) OR ({same.format('get(_by_hash, k + 1)')}) THEN x.i END), i -> i IS NOT NULL))")
     rows = rows.withColumn("_again", again)
     covered = F.expr("aggregate(transform(_again, (p, k) -> least(3, coalesce(get(_again, k + 1), p + 3) - p)), 0L, (a, x) -> a + x)")
     return rows.select(
@@ -166,7 +168,7 @@ def quality_verdicts(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Base counts, whether the base rules fail, and whether the document is kept, by rules learned from `labels` (doc_id, quality)."""
     counted = checkpointed(text_statistics(documents))
     with_levels = counted.withColumns(levels())
-    marked = labels.filter("quality IS NOT NULL").select("doc_id", (1 - F.col("quality")).cast("int").alias("reject"))
+    marked = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg((1 - F.min("quality")).cast("int").alias("reject"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     # rows that the base rules reject anyway teach nothing
     labelled = with_levels.filter(~failed).join(marked, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)))
