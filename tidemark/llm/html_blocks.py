@@ -12,13 +12,14 @@ WORDS = re.compile(r"[a-z]+")
 SPACES = re.compile(r"[ \t\n\r\f\v\xa0]+")
 
 # Elements by what they do to a page's text.
-SKIPPED = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "canvas", "object", "select", "option", "datalist"}
+SKIPPED = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "canvas", "object", "select", "option", "datalist"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption",
     "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre",
     "search", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul",
 }
 CELLS = {"td", "th"}
+TEXT = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "li", "td", "th", "figcaption", "dd", "dt"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BESIDE = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "search", "fieldset", "head"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "toolbar"}
@@ -27,6 +28,8 @@ NAMES = {
     "menu", "footer", "cookie", "cookies", "consent", "gdpr", "notice", "notification", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup",
     "login", "share", "sharing", "social", "related", "recommended", "recommendations", "comment", "comments", "disqus", "reply", "replies", "respond", "breadcrumb",
     "breadcrumbs", "pagination", "pager", "widget", "masthead", "topbar", "toolbar", "skip", "disclaimer", "aside",
+    "share-buttons", "share-links", "social-links", "social-share", "related-posts", "related-articles", "related-links", "comment-list", "comment-section", "comments-area",
+    "newsletter-signup", "subscribe-box", "ad-slot", "ad-container", "ad-banner", "cookie-banner", "cookie-notice", "skip-link",
 }
 
 
@@ -49,8 +52,11 @@ def stands_beside(tag: str, given: dict[str, str], inside: bool) -> bool:
         return True
     if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", given.get("style", ""), re.I):
         return True
-    named = f"{given.get('class', '')} {given.get('id', '')}".lower()
-    return any(word in NAMES for word in WORDS.findall(named)) or (not inside and "header" in WORDS.findall(named))
+    names = f"{given.get('class', '')} {given.get('id', '')}".lower().split()
+    if inside:
+        # in an article an element may be named for what it tells of: a heading or paragraph never goes by its name, others only by whole names
+        return tag not in TEXT and any(name in NAMES for name in names)
+    return any(word in NAMES or word == "header" for name in names for word in WORDS.findall(name))
 
 
 def blocks(page: str) -> list[Block]:

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .html_blocks import blocks
+from .tables import small_batches
 from .worker import begin
 
 #: The share of a page's lines from which a neighbour that has them too is a copy.
@@ -150,7 +151,7 @@ def block_borders(pages: DataFrame) -> dict[str, tuple[list, dict]]:
 def with_neighbours(pages: DataFrame) -> DataFrame:
     """Parsed pages and the checksums of their neighbours before and after, nearest first, with the paths."""
     bare = F.regexp_replace("url", "^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.lower(F.regexp_extract(bare, "^[^/?#]*", 0)).alias("host"), F.regexp_extract(F.regexp_replace(bare, "^[^/?#]*", ""), "^[^?#]*", 0).alias("path"))
+    pages = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.lower(F.regexp_extract(bare, "^[^/?#]*", 0)).alias("host"), F.regexp_extract(F.regexp_replace(bare, "^[^/?#]*", ""), "^[^?#]*", 0).alias("path"))
     addressed = pages.filter("url IS NOT NULL")
     borders = pages.sparkSession.sparkContext.broadcast(block_borders(addressed))
     order = Window.partitionBy("host", "block").orderBy("path", "page_id")
