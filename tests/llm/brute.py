@@ -61,7 +61,7 @@ def statistics(text: str | None) -> tuple[int, ...]:
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
-def contamination(docs: dict[int, str | None], items: dict[str, str | None]) -> dict[int, tuple]:
+def contamination(docs: dict[int, str | None], items: dict[str | None, str | None]) -> dict[int, tuple]:
     phrases: dict[tuple, set[str]] = {}
     for item, text in items.items():
         words = PLAIN_WORD.findall(lower(text or ""))
@@ -77,7 +77,7 @@ def contamination(docs: dict[int, str | None], items: dict[str, str | None]) ->
             for k in range(len(words) - width + 1):
                 owners = phrases.get(tuple(words[k : k + width]))
                 if owners:
-                    found |= owners
+                    found |= owners - {None}
                     hit.update(range(k, k + width))
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out[doc_id] = (len(words), len(hit), len(found), digest, len(hit) > 0 and 20 * len(hit) >= len(words))

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -112,7 +113,7 @@ def test_neighbours_of_a_whole_host(spark, block, monkeypatch):
 
 def test_disguises_are_restored():
     words = {"idiot": 40, "stupid": 40, "window": 30, "table": 30, "steel": 30, "moral": 20, "nation": 20, "good": 30}
-    model = Model(trigrams(words.items()))
+    model = Model(trigrams(" ".join([w] * n) for w, n in words.items()))
     assert [restored(w, model) for w in ("1d10t", "id.i-ot", "stuuuupid", "$tup1d", "w1nd0w", "goooood")] == ["idiot", "idiot", "stupid", "stupid", "window", "good"]
 
 
@@ -147,3 +148,150 @@ def test_toxicity_without_labels(toxic):
     documents, labels = toxic
     assert toxicity(documents, labels.limit(0)).agg(F.max("score")).first()[0] == 0.0
     assert toxicity(documents.limit(0), labels).count() == 0
+
+
+def test_names_inside_articles():
+    page = (
+        "<article><h2 id='related-work'>Related work</h2><p class='share-price'>Prices rose</p><section id='social-history'><p>History</p></section><p>Let <math><mi>x</mi></math> be</p>"
+        "<div class='comments'><p>Nice</p></div><div class='share-buttons'>Share</div><aside>Aside</aside></article>"
+    )
+    assert [b.text for b in html_blocks.blocks(page) if not b.beside] == ["Related work", "Prices rose", "History", "Let x be"]
+
+
+def neighbours_by_brute_force(rows):
+    """Text by page: every page of a host against the two before and after it, lines aligned by the quadratic table."""
+
+    def aligned(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in reversed(range(len(a))):
+            for j in reversed(range(len(b))):
+                table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
+        return table[0][0] if a and b else 0
+
+    out, hosts = {}, {}
+    for page_id, url, html in rows:
+        host, _, path = url.split("//", 1)[1].partition("/")
+        hosts.setdefault(host, []).append(("/" + path, page_id, [b.text for b in html_blocks.blocks(html) if not b.beside]))
+    for pages in hosts.values():
+        pages.sort()
+        for k, (_, page_id, lines) in enumerate(pages):
+            near = [x[2] for x in pages[max(0, k - 2) : k] + pages[k + 1 : k + 3]]
+            telling = [x for x in near if x and aligned(lines, x) < page_differencing.COPY * len(lines)]
+            gone = {x for x in lines if len(telling) > 1 and all(x in other for other in telling)}
+            out[page_id] = "\n".join(x for x in lines if x not in gone)
+    return out
+
+
+@pytest.mark.parametrize("block", [page_differencing.BLOCK, 3])
+def test_differencing_matches_brute_force(spark, block, monkeypatch):
+    """Articles of distinct lines, some shared by a whole site, some quoted by one other page, some copies of pages."""
+    monkeypatch.setattr(page_differencing, "BLOCK", block)
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):
+        host = f"h{k % 3}.com"
+        lines = [f"Own {k} {j}" for j in range(rng.randint(1, 6))] if k % 10 or k < 3 else [f"Own {k - 3} {j}" for j in range(4)]
+        lines = ["Subscribe now"] * (k % 3 != 2) + lines + [f"Quote {rng.randrange(4)}"] * (k % 4 == 0) + [f"All rights reserved by {host}"]
+        rows.append((k, f"http://{host}/{rng.choice('abc')}/{rng.randrange(100)}", "<article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article>"))
+    expected = neighbours_by_brute_force(rows)
+    found = {r.page_id: r.text for r in page_differencing.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == expected and any("Subscribe" not in x for x in found.values())
+
+
+def test_pages_empty_and_clashing(spark):
+    schema = "page_id long, url string, html string, host string, path string, block int, lines string, before string"
+    assert page_differencing.main_texts(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, "http://h/a", "<p>x</p>", "q", "q", 1, "q", "q")] * 2
+    assert [r.text for r in page_differencing.main_texts(spark.createDataFrame(rows, schema)).collect()] == ["x", "x"]
+
+
+def ring_by_brute_force(ids, shards, virtual_nodes):
+    """Every key walks the ring clockwise by itself, in the order of cells."""
+    nodes, room = sharding.ring(shards, virtual_nodes), sharding.capacities(len(ids), shards)
+    counts = {}
+    for cell in sorted(ids):
+        begin = next((k for k, (at, _) in enumerate(nodes) if at >= cell), 0)
+        shard = next(s for _, s in nodes[begin:] + nodes[:begin] if room[s])
+        room[shard] -= 1
+        counts[cell, shard] = counts.get((cell, shard), 0) + 1
+    return counts
+
+
+@pytest.mark.parametrize("shards", [1, 7, 24])
+def test_ring_matches_brute_force(spark, shards):
+    keys = spark.range(700).select(F.col("id").alias("k"))
+    cell = F.shiftrightunsigned(F.xxhash64("k"), 48).cast("int")
+    cells = {r.k: r.cell for r in keys.select("k", cell.alias("cell")).collect()}
+    found = {}
+    for r in sharding.bounded_shards(keys, F.col("k"), [F.col("k")], shards).collect():
+        found[cells[r.k], r.shard] = found.get((cells[r.k], r.shard), 0) + 1
+    assert found == ring_by_brute_force(list(cells.values()), shards, 64)
+
+
+def test_movement_on_growth(spark):
+    """24 to 25 shards move little more than the 4 % that the new one takes."""
+    keys = spark.range(40_000).select(F.col("id").alias("k"))
+    place = lambda n: {r.k: r.shard for r in sharding.bounded_shards(keys, F.col("k"), [F.col("k")], n).collect()}
+    a, b = place(24), place(25)
+    moved = sum(a[k] != b[k] for k in a) / len(a)
+    assert 0.04 <= moved <= 0.15
+
+
+def test_decoder_matches_all_paths():
+    """Viterbi against every path through small lattices."""
+    from tidemark.llm import noisy_channel as nc
+
+    model = Model(trigrams(["idiot stupid window table steel moral nation good a so is it", "the idea is good so it is a window"]))
+
+    def value(path):
+        total, state = 0.0, "  "
+        for text, channel in path:
+            total += channel
+            if text == nc.BREAK:
+                if state == "  ":
+                    return None
+                total, state = total + model.log(state + " "), "  "
+            for c in text if text != nc.BREAK else "":
+                c = nc.letter(c)
+                total, state = total + model.log(state + c), state[1] + c
+        return total if state == "  " else total + model.log(state + " ")
+
+    for lattice in (nc.choices("1d10t"), nc.choices("st.u00p"), nc.spaced_choices(["i", "5", "a"], [nc.USUAL, nc.UNUSUAL]), nc.spaced_choices(["ta", "ble"], [nc.SPLIT]), nc.choices("goood!")):
+        values = {}
+        for path in itertools.product(*lattice):
+            v = value(path)
+            if v is not None:
+                text = "".join(t for t, _ in path)
+                values[text] = max(values.get(text, v), v)
+        best = nc.decoded(lattice, model)
+        assert values[best] == pytest.approx(max(values.values()), abs=1e-9)
+
+
+def test_spacing_is_decoded():
+    from tidemark.llm import noisy_channel as nc
+
+    model = Model(trigrams(["you are a stupid idiot and a good nation so is it", "an idiot is a stupid man a idiot a window"] * 20))
+    assert nc.spelt_out("x\ns t u p i d\n i d i o t", model) == ["stupid", "idiot"]
+    assert nc.spelt_out("you  i  d  i  o  t", model) == ["idiot"] and nc.spelt_out("i\td\ti\to\tt", model) == ["idiot"] and nc.spelt_out("s-t-u-p-i-d", model) == ["stupid"]
+    assert nc.joins("id", "iot", model) and not nc.joins("good", "nation", model)
+    assert nc.restored("i" * 300 + "di" + "o" * 200 + "t", model) == "idiot"
+
+
+@pytest.mark.parametrize("sf", ["sf0.1"])
+def test_held_out_toxicity(spark, sf_dir, sf):
+    """Recall and precision on labelled rows that weren't learned from."""
+    folder = sf_dir.replace("sf0.001", sf)
+    rows = QUERIES["op5_noisy_channel"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic"), "doc_id").filter("held_out AND toxic IN (0, 1)")
+    counts = {(r.toxic, r.predicted): r["count"] for r in rows.groupBy("toxic", "predicted").count().collect()}
+    hit, missed, wrong = counts.get((1, 1), 0), counts.get((1, 0), 0), counts.get((0, 1), 0)
+    assert hit >= 0.9 * (hit + missed) and hit >= 0.95 * (hit + wrong)
+
+
+def test_clashing_columns_of_stages(toxic):
+    documents, labels = toxic
+    clashing = documents.withColumns({"_score": F.lit(1), "__score": F.lit(2), "_text": F.lit("x"), "SCORE2": F.lit(3)})
+    kept = clean_texts(clashing, labels)
+    assert kept.columns == clashing.columns and kept.filter("doc_id = 1").count() == 1
+    repeated = documents.filter("doc_id < 30").union(documents.filter("doc_id < 30"))
+    scores = toxicity(repeated, labels).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("score").alias("k"))
+    assert scores.filter("n <> 2 OR k <> 1").count() == 0

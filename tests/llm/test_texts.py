@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import brute
@@ -117,11 +118,55 @@ def test_index_finds_every_occurrence():
 @pytest.mark.parametrize("block", [decontamination.BLOCK_BYTES, 300])
 def test_contamination_matches_brute_force(spark, documents, awkward, nothing, block, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
-    items = {"1": awkward[6][50:300], "10": "ONE two", "2": None, "3": "...", "4": awkward[9][200:420], "5": "ba " * 20, "6": awkward[6][50:300]}
-    benchmark = spark.createDataFrame([*items.items(), (None, "one")], "item_id string, text string")
+    items = {"1": awkward[6][50:300], "10": "ONE two", "2": None, "3": "...", "4": awkward[9][200:420], "5": "ba " * 20, "6": awkward[6][50:300], None: awkward[20][100:300]}
+    benchmark = spark.createDataFrame([*items.items()], "item_id string, text string")
     found = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.contamination(documents, benchmark).collect()}
     assert found == brute.contamination(awkward, items)
+    clashing = documents.withColumns({"_found_n_hit": F.lit(1), "_searched": F.lit("x")})
+    assert decontamination.clean_documents(clashing, benchmark).columns == clashing.columns
+    twice = decontamination.contamination(documents.union(documents), benchmark).groupBy("doc_id").count()
+    assert twice.filter("count <> 2").count() == 0
     kept = decontamination.clean_documents(documents, benchmark)
     assert kept.columns == documents.columns and {r.doc_id for r in kept.collect()} == {i for i, row in found.items() if not row[-1]}
     assert decontamination.contamination(nothing, benchmark).count() == 0
     assert decontamination.contamination(documents, benchmark.limit(0)).filter("n_hit > 0").count() == 0
+
+
+def test_words_by_two_libraries(spark, library):
+    """Single words merged by tiktoken and by tokenizers, over the table's words and odd texts."""
+    with open(PATH, encoding="utf-8") as file:
+        vocabulary = file.read()
+    engine, rng = packing.word_engine(vocabulary), random.Random(7)
+    words = {w for r in table(spark, "/root/testdata/sf0.01", "documents").select("text").collect() for w in (r.text or "").split(" ") if w}
+    odd = ["".join(chr(rng.choice([rng.randrange(33, 0x250), rng.randrange(0x250, 0xD7FF), rng.randrange(0xE000, 0x10FFFF)])) for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    for word in [*sorted(words)[:20_000], *odd]:
+        if packing.spaced_apart(word):
+            assert engine(" " + word) == library.encode(" " + word, add_special_tokens=False).ids, word
+
+
+def test_prefixes_around_added_tokens(library, encoder):
+    text = "word " * 30 + "end<|endoftext|>  then <|endoftext|><|endoftext|> x <|endof"
+    assert prefix_counts(encoder, text) == [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+
+
+def test_labels_out_of_their_domain(spark, documents):
+    labels = spark.createDataFrame([(i, 2) for i in range(21)] + [(None, 0), (3, None)], "doc_id long, quality int")
+    out = quality.quality_verdicts(documents, labels).collect()
+    assert len(out) == 21 and all(r.kept != r.base_failed for r in out)
+
+
+def verdict_by_brute_force(levels, rules):
+    for rule in rules:
+        if all(levels[c.name] >= c.limit if c.least else levels[c.name] <= c.limit for c in rule):
+            return False
+    return True
+
+
+def test_verdicts_match_brute_force(spark):
+    rng = random.Random(12)
+    names = list(quality.levels())
+    rows = [tuple(rng.randint(0, 1000) for _ in names) for _ in range(300)]
+    rules = [tuple(quality.Condition(rng.choice(names), rng.random() < 0.5, rng.randint(0, 1000)) for _ in range(rng.randint(1, 3))) for _ in range(5)]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names))
+    for row in frame.withColumn("kept", quality.verdict(rules)).collect():
+        assert row.kept == verdict_by_brute_force(row.asDict(), rules)
