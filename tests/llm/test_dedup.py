@@ -177,5 +177,6 @@ def test_join_on_hot_keys(spark, most):
 
     rows = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(400)] + [(None, 1)], "key int, n int")
     values = spark.createDataFrame([(k, f"v{k}") for k in range(1, 9)], "key int, v string")
-    found = sorted(tuple(r) for r in joined_on_hot(rows, values, "key", 401, most).collect())
+    weighed = values.join(rows.groupBy("key").agg(F.count("*").alias("w")), "key", "left").fillna(0, ["w"])
+    found = sorted(tuple(r) for r in joined_on_hot(rows, weighed, "key", "w", 401, most).collect())
     assert found == sorted(tuple(r) for r in rows.join(values, "key").collect())

@@ -12,8 +12,8 @@ def _hang(edges: DataFrame, count: int, upward: bool) -> DataFrame:
     """One step of alternating stars: each node's neighbours on one side, and itself, are hung on its least neighbour."""
     # (node, other): upward, the others above a node move; else the node itself and those below do
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))) if upward else edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
-    least = both.groupBy("node").agg(F.min("other").alias("least")).withColumn("least", F.least("node", "least"))
-    joined = joined_on_hot(both, least, "node", 2 * count)
+    least = both.groupBy("node").agg(F.min("other").alias("least"), F.count("*").alias("_n")).withColumn("least", F.least("node", "least"))
+    joined = joined_on_hot(both, least, "node", "_n", 2 * count)
     moved = joined.filter("other > node") if upward else joined
     hung = moved.select(F.col("least").alias("a"), F.col("other").alias("b"))
     if not upward:
@@ -35,6 +35,5 @@ def components(edges: DataFrame) -> DataFrame:
         if sign == seen or not sign[0]:
             break
         seen = sign
-        above = checkpointed(_hang(now, sign[0], True))
-        now = checkpointed(_hang(above, sign[0], False))
+        now = checkpointed(_hang(_hang(now, sign[0], True), sign[0], False))
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

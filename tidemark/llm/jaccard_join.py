@@ -135,8 +135,8 @@ def prefix_shingles(sets: DataFrame) -> DataFrame:
 
 def tile_pairs(sets: DataFrame, neighbourhoods: DataFrame, tile: int) -> DataFrame:
     """The sets of every neighbourhood, dealt to its pairs of tiles."""
-    counted = neighbourhoods.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("_tiles"))
-    placed = joined_on_hot(neighbourhoods, counted, "root", neighbourhoods.count())
+    counted = neighbourhoods.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("_tiles"), F.count("*").alias("_n"))
+    placed = joined_on_hot(neighbourhoods, counted, "root", "_n", neighbourhoods.count())
     tiles = placed.select(F.col("node").alias("set"), "root", F.pmod(F.xxhash64("node"), F.col("_tiles")).cast("int").alias("tile"), "_tiles")
     others = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_other")
     dealt = sets.join(tiles, "set").select("set", "n_shingles", "tokens", "root", "tile", others)
@@ -171,8 +171,8 @@ def unsqueezed(data: bytes) -> bytes:
     return pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
 
 
-def compared(links: DataFrame, texts: DataFrame, part: int, whole: int) -> DataFrame:
-    """Links with `same`: whether the shingles of the texts themselves are as similar."""
+def compared(links: DataFrame, given: DataFrame, part: int, whole: int) -> DataFrame:
+    """Links with `same`: whether the shingles of the texts themselves are as similar.  given: set and text, one row at least for each set."""
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("exchange")
@@ -188,8 +188,12 @@ def compared(links: DataFrame, texts: DataFrame, part: int, whole: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], names=["a", "b", "same"])
 
     count = links.count()
-    rows = joined_on_hot(links, texts.withColumnsRenamed({"set": "b", "text": "_b"}), "b", count, HOT_TEXTS)
-    rows = joined_on_hot(rows, texts.withColumnsRenamed({"set": "a", "text": "_a"}), "a", count, HOT_TEXTS)
+    sides = [F.struct(F.col(name).alias("set"), F.lit(int(name == "a")).alias("x"), F.lit(int(name == "b")).alias("y")) for name in ("a", "b")]
+    ends = links.select(F.explode(F.array(*sides)).alias("e"))
+    ends = ends.groupBy("e.set").agg(F.sum("e.x").alias("_x"), F.sum("e.y").alias("_y"))
+    texts = given.join(ends, "set").dropDuplicates(["set"])
+    rows = joined_on_hot(links, texts.select(F.col("set").alias("b"), F.col("text").alias("_b"), "_y"), "b", "_y", count, HOT_TEXTS)
+    rows = joined_on_hot(rows, texts.select(F.col("set").alias("a"), F.col("text").alias("_a"), "_x"), "a", "_x", count, HOT_TEXTS)
     return rows.select("a", "b", "_a", "_b").mapInArrow(judged, "a binary, b binary, same boolean")
 
 
@@ -210,27 +214,26 @@ def similar_components(documents: DataFrame, part: int = 80, whole: int = 100, t
     candidates = rows.filter("set IS NOT NULL").select("doc_id", "n_shingles", "set")
     given = rows.filter("tokens IS NOT NULL")
     pairs = checkpointed(prefix_shingles(given).distinct())
-    centres = pairs.groupBy("shingle").agg(F.min("set").alias("a"), F.max("set").alias("_most")).filter("a < _most").drop("_most")
-    near = joined_on_hot(pairs, centres, "shingle", pairs.count()).select("a", F.col("set").alias("b")).filter("a < b").distinct()
+    centres = pairs.groupBy("shingle").agg(F.min("set").alias("a"), F.max("set").alias("_most"), F.count("*").alias("_n")).filter("a < _most").drop("_most")
+    near = joined_on_hot(pairs, centres, "shingle", "_n", pairs.count()).select("a", F.col("set").alias("b")).filter("a < b").distinct()
     # one row for each set, whichever chunk gave it; shingles by rarity are the same in all of them
     sets = given.select("set", "n_shingles", "tokens").dropDuplicates(["set"])
     dealt = tile_pairs(sets, components(near), tile)
     links = checkpointed(tree_links(dealt, part, whole))
-    ends = links.select(F.col("a").alias("set")).union(links.select(F.col("b").alias("set"))).distinct()
-    texts = given.select("set", "text").join(ends, "set", "left_semi").dropDuplicates(["set"])
+    texts = given.select("set", "text")
     judged = checkpointed(compared(links, texts, part, whole))
     if not judged.filter("NOT same").isEmpty():
         links = checkpointed(tree_links(dealt, part, whole, thorough=True))
-        judged = checkpointed(compared(links, given.select("set", "text").dropDuplicates(["set"]), part, whole))
+        judged = checkpointed(compared(links, texts, part, whole))
     linked = components(judged.filter("same").select("a", "b"))
     # the least document of every set, then of every component of sets
-    firsts = candidates.groupBy("set").agg(F.min("doc_id").alias("first_id"))
+    firsts = candidates.groupBy("set").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("_n"))
     rooted = firsts.join(linked.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("_sets"))
     count = candidates.count()
-    named = joined_on_hot(rooted, least, "root", count).select("set", "component_id")
+    named = joined_on_hot(rooted, least, "root", "_sets", count).select("set", "component_id", "_n")
     alone = rows.filter("set IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = joined_on_hot(candidates, named, "set", count).select("doc_id", "n_shingles", "component_id").union(alone)
+    out = joined_on_hot(candidates, named, "set", "_n", count).select("doc_id", "n_shingles", "component_id").union(alone)
     return out.select(*(F.when(F.col(c) != NULL_ID, F.col(c)).alias(c) if c != "n_shingles" else F.col(c) for c in out.columns))
 
 

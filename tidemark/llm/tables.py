@@ -65,12 +65,11 @@ def spare_name(name: str, taken: Iterable[str]) -> str:
 HOT_KEYS = 4096
 
 
-def joined_on_hot(rows: DataFrame, by_key: DataFrame, key: str, count: int, most: int = HOT_KEYS) -> DataFrame:
-    """Inner join of `rows`, of which there are `count`, with `by_key`, one row for each key.
+def joined_on_hot(rows: DataFrame, by_key: DataFrame, key: str, weight: str, count: int, most: int = HOT_KEYS) -> DataFrame:
+    """Inner join of `rows`, of which there are `count`, with `by_key`, one row for each key; its column `weight`, how many of `rows` have the key, is left out.
 
     A key that more than one in `most` rows have would meet in one task: those keys,
     fewer than `most`, are joined by broadcast, the others by a shuffle.
     """
-    hot = F.broadcast(rows.groupBy(key).count().filter(F.col("count") > max(32, count // most)).select(key))
-    few = F.broadcast(by_key.join(hot, key, "left_semi"))
-    return rows.join(few, key).unionByName(rows.join(hot, key, "left_anti").join(by_key, key))
+    few = F.broadcast(by_key.filter(F.col(weight) > max(32, count // most)).drop(weight))
+    return rows.join(few, key).unionByName(rows.join(few, key, "left_anti").join(by_key.drop(weight), key))
