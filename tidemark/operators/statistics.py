@@ -7,6 +7,9 @@ added up; no window runs over all rows in one task.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,18 +118,34 @@ def confusion_metrics(df: DataFrame, positive: Column, predicted: Column, keys:
     return df.groupBy(*(keys or [])).agg(share(n - fp - fn, n).alias("accuracy"), share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
+def normal_tails(z: Column) -> Column:
+    """The probability that a standard normal number is as far from 0 as z."""
+
+    @F.pandas_udf("double")
+    def tails(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: math.erfc(abs(x) / math.sqrt(2)), na_action="ignore")
+
+    return tails(z)
+
+
 def signed_ranks(df: DataFrame, a: Column, b: Column, keys: list[str]) -> DataFrame:
-    """Wilcoxon's rank sums of paired differences by key: zeros dropped, tied sizes given their mean rank, and the normal approximation's z."""
-    d = df.withColumn("_d", F.round(a - b, 12)).filter("_d IS NOT NULL AND _d <> 0").withColumn("_size", F.abs("_d"))
-    ties = Window.partitionBy(*keys, "_size")
-    rank = F.rank().over(Window.partitionBy(*keys).orderBy("_size")) + (F.count(F.lit(1)).over(ties) - 1) / 2
-    d = d.withColumns({"_rank": rank, "_ties": F.count(F.lit(1)).over(ties)})
-    n = F.count(F.lit(1))
-    up, down = F.sum(F.when(F.col("_d") > 0, F.col("_rank")).otherwise(0.0)), F.sum(F.when(F.col("_d") < 0, F.col("_rank")).otherwise(0.0))
-    tied = F.sum((F.col("_ties") * F.col("_ties") - 1) / 48.0)
-    out = d.groupBy(*keys).agg(n.alias("n"), up.alias("w_plus"), down.alias("w_minus"), tied.alias("_tied"))
+    """Wilcoxon's rank sums of paired differences by key: zeros dropped, tied sizes given their mean rank, with the normal approximation's z and two-sided p_value.
+
+    Ranks are counted over distinct sizes, within blocks of sizes whose counts are added
+    up, so that no task gets all pairs of a key.
+    """
+    d = df.withColumn("_d", F.round(a - b, 12)).filter("_d IS NOT NULL AND _d <> 0")
+    sizes = d.groupBy(*keys, F.abs("_d").alias("_size")).agg(F.count_if(F.col("_d") > 0).alias("_up"), F.count(F.lit(1)).alias("_n")).withColumn("_block", F.floor(F.log(F.col("_size")) * 64))
+    below = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    blocks = sizes.groupBy(*keys, "_block").agg(F.sum("_n").alias("_in")).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_block").alias("_b"), F.coalesce(F.sum("_in").over(below), F.lit(0)).alias("_below"))
+    same = [sizes[k].eqNullSafe(blocks[f"_k{i}"]) for i, k in enumerate(keys)] + [sizes["_block"] == blocks["_b"]]
+    inside = Window.partitionBy(*keys, "_block").orderBy("_size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sizes.join(blocks, same).withColumn("_rank", F.col("_below") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + (F.col("_n") + 1) / 2)
+    tied = F.sum((F.col("_n") * F.col("_n") - 1) * F.col("_n") / 48.0)
+    out = ranked.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum(F.col("_rank") * F.col("_up")).alias("w_plus"), F.sum(F.col("_rank") * (F.col("_n") - F.col("_up"))).alias("w_minus"), tied.alias("_tied"))
     mean, deviation = F.col("n") * (F.col("n") + 1) / 4, F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("_tied"))
-    return out.withColumns({"w": F.least("w_plus", "w_minus"), "z": F.when(deviation > 0, (F.least("w_plus", "w_minus") - mean) / deviation)}).drop("_tied")
+    out = out.withColumns({"w": F.least("w_plus", "w_minus"), "z": F.when(deviation > 0, (F.least("w_plus", "w_minus") - mean) / deviation)}).drop("_tied")
+    return out.withColumn("p_value", normal_tails(F.col("z")))
 
 
 def dense_numbers(df: DataFrame, value: str, block: Column, name: str) -> DataFrame:

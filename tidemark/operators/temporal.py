@@ -17,10 +17,17 @@ def spans(history: DataFrame, keys: list[str], time: str, until: str = "valid_to
 
 
 def asof_join(left: DataFrame, history: DataFrame, keys: list[str], left_time: str, time: str, values: list[str]) -> DataFrame:
-    """Every row of `left` with the values of the last change point at or before its time, null if there is none."""
-    right = spans(history.select(*keys, time, *values), keys, time, "_until").select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(time).alias("_from"), "_until", *values)
-    on = [left[k] == right[f"_{k}"] for k in keys] + [left[left_time] >= right["_from"], right["_until"].isNull() | (left[left_time] < right["_until"])]
-    return left.join(right, on, "left").drop(*(f"_{k}" for k in keys), "_from", "_until")
+    """Every row of `left` with the values of the last change point at or before its time, null if there is none.
+
+    Rows and change points of a key are put in one order and the last point seen is
+    carried along: one pass, however many of both a key has.  Null keys and times match nothing.
+    """
+    names = [f"_k{k}" for k in range(len(keys))]
+    points = history.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, time])).select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(time).alias("_t"), F.lit(0).alias("_side"), F.struct(*values).alias("_value"))
+    rows = left.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
+    w = Window.partitionBy(*names).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = points.unionByName(rows, allowMissingColumns=True).withColumn("_seen", F.last("_value", ignorenulls=True).over(w)).filter("_side = 1")
+    return both.select("_row.*", *(F.col(f"_seen.{v}").alias(v) for v in values))
 
 
 def snapshot_join(left: DataFrame, history: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:
@@ -42,6 +49,20 @@ def within(left: DataFrame, right: DataFrame, on: list[str], time: str, first: s
     return left.join(right, condition, how).drop(*(f"_{k}" for k in on))
 
 
+def active_sums(left: DataFrame, lives: DataFrame, on: list[str], time: str, first: str, last: str, sums: dict[str, Column]) -> DataFrame:
+    """Every row of `left` with sums over the rows of `lives` of equal keys whose life, `first` to `last`, covers its time; 0 where there are none.
+
+    Lives aren't paired with rows: they add to their key's running sums at `first` and
+    are taken off after `last`, so that a row looks up one number.
+    """
+    begun = lives.select(*on, F.col(first).alias("_at"), *(c.alias(n) for n, c in sums.items()))
+    ended = lives.select(*on, (F.col(last) + 1).alias("_at"), *((-c).alias(n) for n, c in sums.items()))
+    steps = begun.unionByName(ended).groupBy(*on, "_at").agg(*(F.sum(n).alias(n) for n in sums))
+    w = Window.partitionBy(*on).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = steps.select(*on, "_at", *(F.sum(n).over(w).alias(n) for n in sums))
+    return asof_join(left, running, on, time, "_at", list(sums)).fillna(0, list(sums))
+
+
 def next_different(df: DataFrame, keys: list[str], order: list[str], value: str, next_name: str, distance_name: str) -> DataFrame:
     """The next value that differs from a row's own, and how many rows away it is.
 

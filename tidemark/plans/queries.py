@@ -103,14 +103,17 @@ def companies(spark, sf_dir) -> DataFrame:
 COMPANIES = f"{LIVES}, companies AS (SELECT c_custkey, c_nationkey, c_mktsegment, c_acctbal, first_year, last_year FROM lives JOIN customer ON o_custkey = c_custkey)"
 
 
-@query(f"""WITH {COMPANIES}, deals AS (SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) AS BIGINT) AS year, c_nationkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT')
+@query(f"""WITH {COMPANIES}, deals AS (SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) AS BIGINT) AS year, c_nationkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey)
   SELECT o_orderkey, count(*) AS n_active, round(avg(c_acctbal), 6) AS mean_balance FROM deals d JOIN companies c
   ON d.c_nationkey = c.c_nationkey AND d.c_mktsegment = c.c_mktsegment AND year BETWEEN first_year AND last_year AND o_custkey <> c_custkey GROUP BY 1""")
 def active_pairs_range_join(spark, sf_dir):
-    firms = companies(spark, sf_dir)
-    urgent = rounds(spark, sf_dir).filter("o_orderpriority = '1-URGENT'").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "year", "c_nationkey", "c_mktsegment")
-    pairs = temporal.within(urgent, firms, ["c_nationkey", "c_mktsegment"], "year", "first_year", "last_year").filter("o_custkey <> c_custkey")
-    return pairs.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_active"), F.round(F.avg("c_acctbal"), 6).alias("mean_balance"))
+    firms, key = companies(spark, sf_dir), ["c_nationkey", "c_mktsegment"]
+    deals = rounds(spark, sf_dir).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "year", "c_acctbal", *key)
+    # a round's own company lives in its year: it is taken off
+    cents = F.round(F.col("c_acctbal") * 100).cast("long")
+    found = temporal.active_sums(deals.withColumn("own", cents), firms, key, "year", "first_year", "last_year", {"n": F.lit(1), "cents": cents})
+    others = found.select("o_orderkey", (F.col("n") - 1).alias("n_active"), (F.col("cents") - F.col("own")).alias("cents")).filter("n_active > 0")
+    return others.select("o_orderkey", "n_active", F.round(F.col("cents") / 100 / F.col("n_active"), 6).alias("mean_balance"))
 
 
 @query("""WITH parts AS (SELECT l_suppkey, CAST(year(l_shipdate) AS BIGINT) AS year, l_extendedprice FROM lineitem), years AS (SELECT DISTINCT l_suppkey, year FROM parts)
@@ -574,11 +577,11 @@ def metric_comparison(spark, sf_dir):
     return compare_models(run_metrics(spark, sf_dir), "model", ["accuracy"], "lr", "rf")
 
 
-@query("""WITH d AS (SELECT l_linestatus, round(abs(x), 12) AS size, x FROM (SELECT l_linestatus, l_quantity - floor(l_extendedprice / 1000) AS x FROM lineitem WHERE l_orderkey % 20 = 0) WHERE x <> 0),
+@query("""WITH d AS (SELECT l_linestatus, round(abs(x), 12) AS size, x FROM (SELECT l_linestatus, l_quantity - floor(l_extendedprice / 1000) AS x FROM lineitem) WHERE x <> 0),
   r AS (SELECT *, rank() OVER (PARTITION BY l_linestatus ORDER BY size) + (count(*) OVER (PARTITION BY l_linestatus, size) - 1) / 2.0 AS rk FROM d)
   SELECT l_linestatus, count(*) AS n, CAST(sum(CASE WHEN x > 0 THEN rk ELSE 0 END) AS DOUBLE) AS w_plus, CAST(sum(CASE WHEN x < 0 THEN rk ELSE 0 END) AS DOUBLE) AS w_minus FROM r GROUP BY 1""")
 def wilcoxon_w_statistic(spark, sf_dir):
-    pairs = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0").select("l_linestatus", "l_quantity", F.floor(F.col("l_extendedprice") / 1000).cast("double").alias("other"))
+    pairs = table(spark, sf_dir, "lineitem").select("l_linestatus", "l_quantity", F.floor(F.col("l_extendedprice") / 1000).cast("double").alias("other"))
     return statistics.signed_ranks(pairs, F.col("l_quantity"), F.col("other"), ["l_linestatus"]).select("l_linestatus", "n", "w_plus", "w_minus")
 
 
