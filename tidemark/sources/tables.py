@@ -41,10 +41,13 @@ def write_runs(df: DataFrame, path: str) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Written to the folder of `spark.checkpoint.dir`; a folder of its own only where that is unset."""
+    """Written to the folder of `spark.checkpoint.dir`; only a session within one process may do without that setting and gets a folder of its own."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()
 
 
