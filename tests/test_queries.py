@@ -3,7 +3,7 @@
 import pytest
 
 from tests.parity import assert_same, connect
-from tidemark.plans.queries import ORACLES, QUERIES
+from tidemark.plans.panel_queries import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
