@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.models.families import FAMILIES, build, linear_contributions, permutation_contributions
+from tidemark.operators import statistics
 from tidemark.plans import dataset, evaluation
 from tidemark.plans.experiments import prepare_split, run_once, summary
 from tidemark.plans.imputation import impute_nearest
@@ -32,6 +33,21 @@ def test_split_fits_on_training_rows_alone(rows):
     assert median == pytest.approx(0, abs=1e-9) and split.test.filter("y IS NULL OR kind_share IS NULL").count() == 0
 
 
+def test_settings_share_their_parts(rows):
+    other = rows.withColumn("target", 1 - F.col("half"))
+    parts = [{name: {r.CompanyID for r in getattr(prepare_split(df, [], ["x"], seed=3, strata=rows), name).collect()} for name in ("train", "test")} for df in (rows, other)]
+    assert parts[0] == parts[1] and len(parts[0]["test"]) in range(58, 63)
+    with pytest.raises(ValueError):
+        prepare_split(other.filter("CompanyID > 3"), [], ["x"], seed=3, strata=rows)
+
+
+def test_signed_ranks_give_probabilities(spark):
+    frame = spark.createDataFrame([("a", float(k), float(k) - d) for k, d in enumerate([1.5, 2.0, -0.5, 3.0, 2.0, 4.5, -1.0, 2.5])] + [("b", 1.0, 2.0), ("b", 2.0, 1.0)], "k string, x double, y double")
+    found = {r.k: r for r in statistics.signed_ranks(frame, F.col("x"), F.col("y"), ["k"]).collect()}
+    assert (found["a"].w_plus, found["a"].w_minus) == (33.0, 3.0) and found["a"].p_value == pytest.approx(0.03526, abs=5e-4)
+    assert found["b"].p_value == pytest.approx(1.0)
+
+
 def test_imputation_searches_all_known_rows(spark):
     n = 60_000
     rows = spark.range(n).select(F.col("id").alias("k"), F.col("id").cast("double").alias("x"), F.when(F.col("id") % 3000 != 7, F.col("id") * 2.0).alias("y"))

@@ -72,7 +72,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             texts = [c for c, kind in df.dtypes if kind == "string" and c != experiments.KEY]
             numbers = [c for c in df.columns if c not in (experiments.KEY, experiments.TARGET, *texts)]
             families = {p["model"]: {} for p in grid({"model": args.model})}
-            metrics, scored = experiments.run_grid(df, texts, numbers, families, args.seed, args.grouped)
+            metrics, scored = experiments.run_grid(df, texts, numbers, families, args.seed, args.grouped, strata=controlled)
             write_runs(scored.selectExpr("*", f"'{name}' AS tag"), f"{args.interim_dir}/predictions")
             for row in experiments.summary(spark, metrics).collect():
                 print(json.dumps({"setting": name} | row.asDict()))

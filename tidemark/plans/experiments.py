@@ -53,10 +53,17 @@ class Split:
     features: list[str]
 
 
-def prepare_split(df: DataFrame, categories: Sequence[str], numbers: Sequence[str], seed: int, group: str | None = None, least_share: float = 0.01, neighbours: int = 5) -> Split:
-    """Stratified parts, with categories as training shares, holes filled from training rows and numbers scaled by training quartiles (by `group` if given, else over all)."""
-    strata = [TARGET] + ([group] if group else [])
-    parted = statistics.stratified_split(df, strata, F.xxhash64(F.col(KEY), F.lit(seed)), CUTS)
+def prepare_split(df: DataFrame, categories: Sequence[str], numbers: Sequence[str], seed: int, group: str | None = None, least_share: float = 0.01, neighbours: int = 5, strata: DataFrame | None = None) -> Split:
+    """Stratified parts (by the target of `strata`, a data set of the same firms, if given, else by the own one), with categories as training shares, holes filled from training rows and numbers scaled by training quartiles (by `group` if given, else over all)."""
+    place = F.xxhash64(F.col(KEY), F.lit(seed))
+    if strata is None:
+        parted = statistics.stratified_split(df, [TARGET] + ([group] if group else []), place, CUTS)
+    else:
+        # settings with other targets or columns test the same firms
+        if not same_keys(df, strata, [KEY]):
+            raise ValueError("the data set doesn't have the firms that its parts are drawn by")
+        parts = statistics.stratified_split(strata.select(KEY, TARGET), [TARGET], place, CUTS).select(KEY, "split")
+        parted = df.join(parts, KEY)
     train = parted.filter("split = 'train'")
     out, features = parted, list(numbers)
     for c in categories:
@@ -95,11 +102,11 @@ def run_once(split: Split, family: str, parameters: Mapping | None, seed: int) -
     return out | {f"{k}_tuned": v for k, v in tuned.items()}, test.select(KEY, TARGET, "score").withColumns({"model": F.lit(family), "seed": F.lit(seed)})
 
 
-def run_grid(df: DataFrame, categories: Sequence[str], numbers: Sequence[str], families: Mapping[str, Mapping], seeds: Sequence[int], group: str | None = None) -> tuple[list[dict], DataFrame]:
+def run_grid(df: DataFrame, categories: Sequence[str], numbers: Sequence[str], families: Mapping[str, Mapping], seeds: Sequence[int], group: str | None = None, strata: DataFrame | None = None) -> tuple[list[dict], DataFrame]:
     """Every family on every seed's split, which all families share."""
     metrics, scored = [], []
     for seed in seeds:
-        split = prepare_split(df, categories, numbers, seed, group)
+        split = prepare_split(df, categories, numbers, seed, group, strata=strata)
         for family, parameters in families.items():
             row, predictions = run_once(split, family, parameters, seed)
             metrics.append(row)
