@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokens
 from .decontamination import contamination
 from .hard_negatives import hard_negatives
 from .jaccard_join import similar_components
+from .language_crf import document_languages
 from .packing import pack
 from .page_differencing import main_texts
 from .quality import quality_verdicts
@@ -125,6 +127,14 @@ SELECT * FROM ranked WHERE rank <= 5
 """
 
 
+def op12_random_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_languages(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_bucket_pointer": op1_bucket_pointer,
     "op2_revisits": op2_revisits,
@@ -137,6 +147,8 @@ QUERIES = {
     "op9_power_of_two": op9_power_of_two,
     "op10_fm_index": op10_fm_index,
     "op11_norm_buckets": op11_norm_buckets,
+    "op12_random_field": op12_random_field,
+    "op13_byte_labels": op13_byte_labels,
 }
 
 ORACLES = {
