@@ -130,9 +130,10 @@ def test_units_are_whole_texts(aligner, libraries):
 
 
 def test_labels():
-    labels = alignment.label_string([2, 1, 3], [1, 2, 3])
+    labels = alignment.label_string(np.array([2, 3, 6]), np.array([1, 3, 6]))
     assert labels == b"bax..x"
-    assert alignment.aligned(labels, [1, 2, 3], [7, 8, 9]) == ([([1, 2], [7, 8]), ([3], [9])], [(1, 7), (1, 8), (2, 8), (3, 9)])
+    assert [x.tolist() for x in alignment.aligned(labels)] == [[0, 0, 1, 2], [0, 1, 1, 2], [3, 1], [2, 1], [2, 1]]
+    assert [x.tolist() for x in alignment.aligned(b"")] == [[], [], [], [], []]
 
 
 def test_parts_round_trip():

@@ -30,9 +30,7 @@ import hashlib
 import json
 import os
 import re
-from array import array
 from collections.abc import Callable, Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -55,27 +53,26 @@ SPAN = re.compile(rb"[^x]*x")
 UNIT = {clean: re.compile(rf"(?:^\s*|{clean})\S*(?:(?!{clean}\S)\s+\S*)*") for clean in ("[ \n]", " ")}
 
 
-def label_string(a_sizes: list[int], b_sizes: list[int]) -> bytearray:
-    """By byte which tokens end there."""
-    labels = bytearray([NEITHER]) * sum(a_sizes)
-    for end in accumulate(a_sizes):
-        labels[end - 1] = A_ENDS
-    for end in accumulate(b_sizes):
-        labels[end - 1] = BOTH if labels[end - 1] == A_ENDS else B_ENDS
-    return labels
+def label_string(a_ends: np.ndarray, b_ends: np.ndarray) -> bytes:
+    """By byte, up to the last end, which tokens end there."""
+    labels = np.full(int(a_ends[-1]) if len(a_ends) else 0, NEITHER, np.uint8)
+    labels[a_ends - 1] = A_ENDS
+    labels[b_ends - 1] = np.where(labels[b_ends - 1] == A_ENDS, BOTH, B_ENDS)
+    return labels.tobytes()
 
 
-def aligned(labels: bytes, a_ids: list[int], b_ids: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """The groups, each the ids of A and of B, and the links."""
-    groups, links, a, b = [], [], 0, 0
-    for span in SPAN.findall(labels):
-        a_end, b_end = a + span.count(A_ENDS) + 1, b + span.count(B_ENDS) + 1
-        groups.append((a_ids[a:a_end], b_ids[b:b_end]))
-        for label in span.translate(None, bytes([NEITHER])):
-            links.append((a_ids[a], b_ids[b]))
-            a += label != B_ENDS
-            b += label != A_ENDS
-    return groups, links
+def aligned(labels: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each link its token of A and of B, by their places; of each group how many links, tokens of A and tokens of B it has.
+
+    Without the bytes where nothing ends, every label closes a link, and a span of them
+    is a group: its labels, less those of the other side, are its tokens.
+    """
+    ends = labels.translate(None, bytes([NEITHER]))
+    links = np.array([*map(len, SPAN.findall(ends))], np.int64)
+    kinds = np.frombuffer(ends, np.uint8)
+    a, b = (np.concatenate(([0], np.cumsum(kinds != other))) for other in (B_ENDS, A_ENDS))
+    last = np.cumsum(links)
+    return a[:-1], b[:-1], links, np.diff(a[last], prepend=0), np.diff(b[last], prepend=0)
 
 
 class Aligner:
@@ -103,21 +100,34 @@ class Aligner:
 
     def tokens(self, units: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of A and of B of each unit; a unit that begins with a line feed loses the space that B puts before any text."""
-        a = self.a.encode_batch(units, add_special_tokens=False)
+        a = self.a.encode_batch_fast(units, add_special_tokens=False)  # without offsets, which nothing asks for
         b = self.b.encode([u.removeprefix(" ") for u in units], num_threads=1)
         return ((x.ids, y if u[:1] == " " else y[1:]) for u, x, y in zip(units, a, b, strict=True))
 
     def align(self, units: list[str]) -> dict[str, tuple[int, int, int, str, bytes] | None]:
-        """By unit the numbers of tokens of A and B and of groups, the groups as text, and the links, A's id in the upper half of 64 bits; None if the bytes differ."""
-        out = {}
-        for unit, (a_ids, b_ids) in zip(units, self.tokens(units), strict=True):
-            a_parts, b_parts, data = [self.a_bytes[k] for k in a_ids], [self.b_bytes[k] for k in b_ids], unit.encode()
-            if b"".join(a_parts) != data or b"".join(b_parts) != data:
-                out[unit] = None
-                continue
-            groups, links = aligned(label_string([*map(len, a_parts)], [*map(len, b_parts)]), a_ids, b_ids)
-            text = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
-            out[unit] = (len(a_ids), len(b_ids), len(groups), text, array("q", [a << 32 | b for a, b in links]).tobytes())
+        """By unit the numbers of tokens of A and B and of groups, the groups as text, and the links, A's id in the upper half of 64 bits; None if the bytes differ.  All units are aligned in one pass: every unit's last byte has both labels."""
+        out, fitting, a_ids, b_ids, a_sizes, b_sizes = dict.fromkeys(units), [], [], [], [], []
+        for unit, (a, b) in zip(units, self.tokens(units), strict=True):
+            a_parts, b_parts, data = [*map(self.a_bytes.__getitem__, a)], [*map(self.b_bytes.__getitem__, b)], unit.encode()
+            if b"".join(a_parts) == data and b"".join(b_parts) == data:
+                fitting.append((unit, len(a), len(b)))
+                a_ids += a
+                b_ids += b
+                a_sizes += map(len, a_parts)
+                b_sizes += map(len, b_parts)
+        a_of, b_of, links, a_in, b_in = aligned(label_string(np.cumsum(np.array(a_sizes, np.int64)), np.cumsum(np.array(b_sizes, np.int64))))
+        pairs = (np.array(a_ids, np.int64)[a_of] << 32 | np.array(b_ids, np.int64)[b_of]).tobytes()
+        a_text, b_text = [*map(str, a_ids)], [*map(str, b_ids)]
+        groups, at, bt = [], 0, 0
+        for n, m in zip(a_in.tolist(), b_in.tolist(), strict=True):
+            groups.append(f"{a_text[at]}|{b_text[bt]}" if n == m == 1 else f"{','.join(a_text[at : at + n])}|{','.join(b_text[bt : bt + m])}")
+            at, bt = at + n, bt + m
+        a_ends, until = np.cumsum(a_in), np.cumsum(links).tolist()
+        last = np.searchsorted(a_ends, np.cumsum([n for _, n, _ in fitting])).tolist() if fitting else []
+        begin, byte = 0, 0
+        for (unit, n, m), k in zip(fitting, last, strict=True):
+            out[unit] = (n, m, k + 1 - begin, ";".join(groups[begin : k + 1]), pairs[byte : 8 * until[k]])
+            begin, byte = k + 1, 8 * until[k]
         return out
 
 
@@ -155,8 +165,9 @@ def linked_chunk(aligner: Aligner, known: Cache, texts: list[str]) -> dict:
     """By document the numbers and the hash; the chunk's distinct pairs; and each document's pairs, by their numbers here, with how often it has them."""
     local: dict[str, int] = {}
     coded = [[local.setdefault(u, len(local)) for u in aligner.units(text)] for text in texts]
-    new = aligner.align([u for u in local if u not in known and u not in known.older])
-    known.function = lambda u: new[u] if u in new else aligner.align([u])[u]
+    found = {u: known[u] for u in local if u in known or u in known.older}
+    found |= aligner.align([u for u in local if u not in found])
+    known.function = found.__getitem__
     values = [known[u] for u in local]
     fits = [x is not None for x in values]
     coded = [units if all(map(fits.__getitem__, units)) else [] for units in coded]
