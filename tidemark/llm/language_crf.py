@@ -81,13 +81,16 @@ class Model:
     weights: np.ndarray
     transitions: np.ndarray
 
-    def word(self, word: str) -> bytes:
-        """Factors by language, the greatest 1; nothing if it is no word."""
-        if not is_word(word):
-            return b""
-        rows = [k for k in map(self.index.get, features(word)) if k is not None]
-        sums = self.weights[rows].sum(axis=0)
-        return np.exp(np.maximum(sums - sums.max(), -60.0)).astype(np.float64).tobytes()
+    def factors(self, words: list[str]) -> list[bytes]:
+        """By word its factors by language, the greatest 1; nothing if it is no word."""
+        known = [[k for k in map(self.index.get, features(w)) if k is not None] if is_word(w) else None for w in words]
+        sizes = np.array([0 if x is None else len(x) for x in known], np.int64)
+        rows = np.fromiter((k for x in known if x for k in x), np.int64, int(sizes.sum()))
+        sums = np.zeros((len(words), len(self.languages)))
+        if len(rows):
+            sums[sizes > 0] = np.add.reduceat(self.weights[rows].astype(np.float64), (np.cumsum(sizes) - sizes)[sizes > 0])
+        data, width = np.exp(np.maximum(sums - sums.max(axis=1, keepdims=True), -60.0)).tobytes(), 8 * len(self.languages)
+        return [b"" if x is None else data[k * width : (k + 1) * width] for k, x in enumerate(known)]
 
 
 def sample(documents: DataFrame, usable: Column) -> list[tuple[str, str]]:
@@ -238,6 +241,10 @@ def labelled(model: Model, known: Cache, texts: list[str]) -> tuple[list[list[st
     local: dict[str, int] = {}
     runs = [words_of(text) for text in texts]
     coded = [[local.setdefault(w, len(local)) for w in words] for words in runs]
+    found = {w: known[w] for w in local if w in known or w in known.older}
+    new = [w for w in local if w not in found]
+    found |= zip(new, model.factors(new), strict=True)
+    known.function = found.__getitem__
     factors = [known[w] for w in local]
     is_one = np.array([bool(x) for x in factors], bool)
     sizes = np.array(list(map(len, coded)), np.int64)
@@ -261,7 +268,7 @@ def in_chunks(model: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[t
     """Rows of a chunk (doc_id and what stands beside it), then what `labelled` has of their texts, which are the last column."""
     begin("language_crf")
     fitted = Model(*model.value)
-    known = kept(f"words_{hashlib.md5(fitted.weights.tobytes()).hexdigest()}", lambda: Cache(fitted.word, WORDS_BYTES))
+    known = kept(f"words_{hashlib.md5(fitted.weights.tobytes()).hexdigest()}", lambda: Cache(str, WORDS_BYTES))
     for batch in batches:
         texts = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
         at, size = 0, 0
