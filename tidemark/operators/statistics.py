@@ -7,11 +7,16 @@ added up; no window runs over all rows in one task.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.operators.selection import exact_quantiles, key_of, order_statistics
+from tidemark.sources.tables import cut_lineage
 
 
 def expanding_moments(population: DataFrame, time: str, value: Column) -> DataFrame:
@@ -44,8 +49,8 @@ def apply_frequencies(df: DataFrame, category: str, table: DataFrame, name: str)
 
 def quartiles(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """Exact median and quartile range."""
-    q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*(keys or [])).agg(q.alias("_q")).select(*(keys or []), F.col("_q")[1].alias("median"), (F.col("_q")[2] - F.col("_q")[0]).alias("spread"))
+    q = exact_quantiles(df, value, [0.25, 0.5, 0.75], keys or [])
+    return q.select(*(keys or []), F.col("_q")[1].alias("median"), (F.col("_q")[2] - F.col("_q")[0]).alias("spread"))
 
 
 def robust_scale(df: DataFrame, value: str, name: str, keys: list[str] | None = None) -> DataFrame:
@@ -56,13 +61,31 @@ def robust_scale(df: DataFrame, value: str, name: str, keys: list[str] | None =
 
 
 def stratified_split(df: DataFrame, strata: list[str], place: Column, cuts: list[tuple[str, float]], name: str = "split") -> DataFrame:
-    """Every row with the part it falls into: of each stratum, in the order of `place`, the first share up to each cut."""
-    w = Window.partitionBy(*strata)
-    rank, size = F.row_number().over(w.orderBy(place)), F.count(F.lit(1)).over(w)
+    """Every row with the part it falls into: of each stratum, in the order of `place`, the first share up to each cut.
+
+    `place` is a number, or a struct that begins with one: where a cut falls is found by
+    counting (`order_statistics`), and only rows whose number stands at a cut are put in
+    order.  A null number comes first.
+    """
+    kind = df.select(place.alias("p")).schema["p"].dataType
+    first, kind = (place[kind.names[0]], kind[0].dataType) if isinstance(kind, T.StructType) else (place, kind)
+    least = F.lit(-float("inf")) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.lit(-(1 << 63))
+    rows = df.withColumns({"_place": F.coalesce(first, least), "_key": key_of(strata)})
+    sizes = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    taken = F.array(*(F.struct(F.lit(k).alias("_target"), F.floor(F.col("_n") * cut + 0.5).alias("_taken")) for k, (_, cut) in enumerate(cuts[:-1])))
+    asked = cut_lineage(sizes.select("_key", F.inline(taken)))
+    ranks = asked.filter("_taken > 0").select("_key", "_target", (F.col("_taken") - 1).alias("_rank"))
+    found = order_statistics(rows.select(*(F.col(f"`{c}`") for c in strata), "_place"), strata, "_place", ranks)
+    limits = asked.join(found, ["_key", "_target"], "left").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_target", F.struct("_value", (F.col("_taken") - F.col("_below")).alias("_more"))))).alias("_limits"))
+    limited = rows.join(cut_lineage(limits), "_key")
+    at_cut = F.exists(F.map_values("_limits"), lambda x: F.coalesce(x["_value"] == F.col("_place"), F.lit(False)))
+    tied = Window.partitionBy("_key", "_place").orderBy(place)
+    both = limited.filter(~at_cut).withColumn("_rank", F.lit(0)).unionByName(limited.filter(at_cut).withColumn("_rank", F.row_number().over(tied)))
     part = F.when(F.lit(False), "")
-    for label, cut in cuts[:-1]:
-        part = part.when(rank <= F.floor(size * cut + 0.5), label)
-    return df.withColumn(name, part.otherwise(cuts[-1][0]))
+    for k, (label, _) in enumerate(cuts[:-1]):
+        limit = F.col("_limits")[k]
+        part = part.when((F.col("_place") < limit["_value"]) | ((F.col("_place") == limit["_value"]) & (F.col("_rank") <= limit["_more"])), label)
+    return both.withColumn(name, part.otherwise(cuts[-1][0])).drop("_place", "_key", "_limits", "_rank")
 
 
 def by_score(df: DataFrame, score: str, positive: Column, keys: list[str] | None = None) -> DataFrame:
@@ -128,24 +151,59 @@ def normal_tails(z: Column) -> Column:
     return tails(z)
 
 
-def signed_ranks(df: DataFrame, a: Column, b: Column, keys: list[str]) -> DataFrame:
-    """Wilcoxon's rank sums of paired differences by key: zeros dropped, tied sizes given their mean rank, with the normal approximation's z and two-sided p_value.
+@functools.cache
+def rank_sums(n: int) -> list[int]:
+    """How many sets of the numbers 1 to n have each sum up to half of all."""
+    ways = [1] + [0] * (n * (n + 1) // 4)
+    for rank in range(1, n + 1):
+        for total in range(len(ways) - 1, rank - 1, -1):
+            ways[total] += ways[total - rank]
+    return ways
+
+
+def exact_tails(n: int, w: float) -> float:
+    """The probability that, of n pairs without ties, the lesser rank sum is at most w."""
+    return min(1.0, 2 * sum(rank_sums(n)[: int(w) + 1]) / 2**n)
+
+
+def exact_tails_of(n: Column, w: Column) -> Column:
+    @F.pandas_udf("double")
+    def tails(counts: pd.Series, sums: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(k) or pd.isna(x) else exact_tails(int(k), x) for k, x in zip(counts, sums, strict=True)], dtype="float64")
+
+    return tails(n, w)
+
+
+#: Pairs up to which the distribution of rank sums is counted out.
+EXACT_PAIRS = 50
+
+
+def signed_ranks(df: DataFrame, a: Column, b: Column, keys: list[str], continuity: bool = False) -> DataFrame:
+    """Wilcoxon's rank sums of paired differences by key: zeros dropped, tied sizes given their mean rank; two-sided p_value.
 
+    The p-value is exact for up to EXACT_PAIRS pairs without zeros or ties, else by the
+    normal approximation (z) with the correction for ties, and for continuity if asked
+    for; 1 for a key whose differences are all 0.  Pairs with a null are left out.
     Ranks are counted over distinct sizes, within blocks of sizes whose counts are added
     up, so that no task gets all pairs of a key.
     """
-    d = df.withColumn("_d", F.round(a - b, 12)).filter("_d IS NOT NULL AND _d <> 0")
-    sizes = d.groupBy(*keys, F.abs("_d").alias("_size")).agg(F.count_if(F.col("_d") > 0).alias("_up"), F.count(F.lit(1)).alias("_n")).withColumn("_block", F.floor(F.log(F.col("_size")) * 64))
-    below = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
-    blocks = sizes.groupBy(*keys, "_block").agg(F.sum("_n").alias("_in")).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_block").alias("_b"), F.coalesce(F.sum("_in").over(below), F.lit(0)).alias("_below"))
-    same = [sizes[k].eqNullSafe(blocks[f"_k{i}"]) for i, k in enumerate(keys)] + [sizes["_block"] == blocks["_b"]]
-    inside = Window.partitionBy(*keys, "_block").orderBy("_size").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = sizes.join(blocks, same).withColumn("_rank", F.col("_below") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + (F.col("_n") + 1) / 2)
+    pairs = df.select(*(F.col(f"`{k}`") for k in keys), (a - b).alias("_d")).filter("_d IS NOT NULL").withColumn("_key", key_of(keys))
+    sizes = pairs.groupBy("_key", F.abs("_d").alias("_size")).agg(F.count_if(F.col("_d") > 0).alias("_up"), F.count(F.lit(1)).alias("_n"))
+    zeros = sizes.groupBy("_key").agg(F.sum(F.when(F.col("_size") == 0, F.col("_n")).otherwise(0)).alias("zeros"))
+    sizes = sizes.filter("_size <> 0").withColumn("_block", F.floor(F.log(F.col("_size")) * 64))
+    below = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    blocks = sizes.groupBy("_key", "_block").agg(F.sum("_n").alias("_in")).withColumn("_below", F.coalesce(F.sum("_in").over(below), F.lit(0))).drop("_in")
+    inside = Window.partitionBy("_key", "_block").orderBy("_size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sizes.join(blocks, ["_key", "_block"]).withColumn("_rank", F.col("_below") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + (F.col("_n") + 1) / 2)
     tied = F.sum((F.col("_n") * F.col("_n") - 1) * F.col("_n") / 48.0)
-    out = ranked.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum(F.col("_rank") * F.col("_up")).alias("w_plus"), F.sum(F.col("_rank") * (F.col("_n") - F.col("_up"))).alias("w_minus"), tied.alias("_tied"))
+    sums = ranked.groupBy("_key").agg(F.sum("_n").alias("n"), F.sum(F.col("_rank") * F.col("_up")).alias("w_plus"), F.sum(F.col("_rank") * (F.col("_n") - F.col("_up"))).alias("w_minus"), tied.alias("_tied"))
+    out = zeros.join(sums, "_key", "left").fillna(0, ["n"]).fillna(0.0, ["w_plus", "w_minus", "_tied"])
     mean, deviation = F.col("n") * (F.col("n") + 1) / 4, F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("_tied"))
-    out = out.withColumns({"w": F.least("w_plus", "w_minus"), "z": F.when(deviation > 0, (F.least("w_plus", "w_minus") - mean) / deviation)}).drop("_tied")
-    return out.withColumn("p_value", normal_tails(F.col("z")))
+    w = F.least("w_plus", "w_minus")
+    out = out.withColumns({"w": w, "z": F.when(deviation > 0, F.least(F.lit(0.0), w - mean + (0.5 if continuity else 0.0)) / deviation)})
+    out = out.withColumn("exact", (F.col("n").between(1, EXACT_PAIRS)) & (F.col("zeros") == 0) & (F.col("_tied") == 0))
+    p = F.when(F.col("n") == 0, 1.0).when(F.col("exact"), exact_tails_of(F.when(F.col("exact"), F.col("n")), F.col("w"))).otherwise(normal_tails(F.col("z")))
+    return out.withColumn("p_value", p).select(*(F.col("_key")[k].alias(k) for k in keys), "n", "zeros", "w_plus", "w_minus", "w", "z", "exact", "p_value")
 
 
 def dense_numbers(df: DataFrame, value: str, block: Column, name: str) -> DataFrame:

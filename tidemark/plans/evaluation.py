@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import statistics
+
 #: The order in which metrics stand in a table.
 METRICS = ["auc", "average_precision", "lift", "f1", "accuracy", "precision", "recall", "prevalence"]
 
@@ -44,6 +46,17 @@ def rank_shift(first: DataFrame, second: DataFrame, feature: str, value: str, to
     return b.join(a, feature).withColumn("shift", F.col("rank_first") - F.col("rank_second")).select(feature, "rank_first", "rank_second", "shift")
 
 
+def signed_rank_table(first: DataFrame, second: DataFrame, key: str, feature: str, value: str, top: int) -> DataFrame:
+    """Of the second experiment's `top` features that the first has too, in the order of their importance there: mean sizes of contributions in both, their difference, the p-value of Wilcoxon's test on the sizes paired by row, and its marks."""
+    sizes = [df.select(F.col(key).alias("_row"), F.col(feature).alias("feature"), F.abs(F.col(value).cast("double")).alias(name)) for df, name in ((first, "_first"), (second, "_second"))]
+    places = importance_ranks(second, feature, value).filter(F.col("rank") <= top).select(F.col(feature).alias("feature"), "rank")
+    pairs = sizes[0].join(sizes[1], ["_row", "feature"]).join(F.broadcast(places), "feature")  # `top` rows
+    means = pairs.groupBy("feature", "rank").agg(F.avg("_first").alias("mean_first"), F.avg("_second").alias("mean_second"))
+    tests = statistics.signed_ranks(pairs, F.col("_first"), F.col("_second"), ["feature"]).select("feature", "n", "p_value")
+    table = means.join(tests, "feature").withColumns({"difference": F.col("mean_first") - F.col("mean_second"), "marks": stars(F.col("p_value"))})
+    return table.select("rank", "feature", "mean_first", "mean_second", "difference", "n", "p_value", "marks").orderBy("rank")
+
+
 def correlations(df: DataFrame, names: Mapping[tuple[str, str], str]) -> DataFrame:
     """Pearson's coefficient of the named pairs, in one pass."""
     return df.agg(*(F.round(F.corr(a, b), 6).alias(n) for (a, b), n in names.items()))

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from tidemark.models.families import build
 from tidemark.operators import statistics
+from tidemark.operators.selection import exact_quantiles
 from tidemark.plans import evaluation
 from tidemark.plans.dataset import ablate, same_keys, swap_target
-from tidemark.plans.imputation import impute_nearest
+from tidemark.plans.imputation import impute
 from tidemark.plans.rules import COLUMNS
+from tidemark.sources.tables import cut_lineage
 
 KEY, TARGET = "CompanyID", "target"
+QUARTILES = [0.25, 0.5, 0.75]
 CUTS = [("train", 0.6), ("validation", 0.8), ("test", 1.0)]
 
 
@@ -53,8 +56,37 @@ class Split:
     features: list[str]
 
 
-def prepare_split(df: DataFrame, categories: Sequence[str], numbers: Sequence[str], seed: int, group: str | None = None, least_share: float = 0.01, neighbours: int = 5, strata: DataFrame | None = None) -> Split:
-    """Stratified parts (by the target of `strata`, a data set of the same firms, if given, else by the own one), with categories as training shares, holes filled from training rows and numbers scaled by training quartiles (by `group` if given, else over all)."""
+def group_labels(df: DataFrame, column: str, table: DataFrame | None) -> DataFrame:
+    """`df` with _group: the column's own values, or, where its shares are encoded, those of the table and `Others` for the rest."""
+    if table is None:
+        return df.withColumn("_group", F.col(f"`{column}`").cast("string"))
+    kept = table.filter("category <> 'Others'").select(F.col("category").cast("string").alias("_kept"))
+    return df.join(F.broadcast(kept), F.col(f"`{column}`").cast("string") == F.col("_kept"), "left").withColumn("_group", F.coalesce("_kept", F.lit("Others"))).drop("_kept")  # one row for each share of at least some size
+
+
+def robust_scaled(df: DataFrame, fit: DataFrame, features: Sequence[str], group: str | None = None, whole: Sequence[str] = ()) -> DataFrame:
+    """(value - median) / quartile range of the rows of `fit`, all features at once; with `group` by its values, but over all for the features in `whole` and for rows whose group `fit` lacks."""
+    long = F.inline(F.array(*(F.struct(F.lit(c).alias("_feature"), F.col(f"`{c}`").cast("double").alias("_value")) for c in features)))
+    middle = lambda q: F.struct(q[1].alias("m"), F.when(q[2] == q[0], 1.0).otherwise(q[2] - q[0]).alias("s"))
+    of_all = {r[0]: r[1] for r in exact_quantiles(fit.select(long), "_value", QUARTILES, ["_feature"]).select("_feature", middle(F.col("_q"))).collect()}  # one row for each feature
+    if group:
+        by_group = exact_quantiles(fit.filter(F.col(group).isNotNull()).select(F.col(group).alias("_of"), long), "_value", QUARTILES, ["_of", "_feature"])
+        stats = by_group.groupBy("_of").agg(F.map_from_entries(F.collect_list(F.struct("_feature", middle(F.col("_q"))))).alias("_stats"))
+        df = df.join(stats, F.col(group) == F.col("_of"), "left")
+    scaled = {}
+    for c in features:
+        if c not in of_all:
+            continue
+        m, spread = F.lit(of_all[c]["m"]), F.lit(of_all[c]["s"])
+        if group and c not in whole:
+            own = F.try_element_at("_stats", F.lit(c))
+            m, spread = F.coalesce(own["m"], m), F.coalesce(own["s"], spread)
+        scaled[c] = (F.col(f"`{c}`") - m) / spread
+    return df.withColumns(scaled).drop("_of", "_stats")
+
+
+def prepare_split(df: DataFrame, categories: Sequence[str], numbers: Sequence[str], seed: int, group: str | None = None, least_share: float = 0.01, neighbours: int = 5, strata: DataFrame | None = None, impute_by: str | None = None) -> Split:
+    """Stratified parts (by the target of `strata`, a data set of the same firms, if given, else by the own one), with categories as training shares, holes filled from the nearest training rows by all features (`impute_by` a column: of the same group) and features scaled by training quartiles (by `group` if given, else over all)."""
     place = F.xxhash64(F.col(KEY), F.lit(seed))
     if strata is None:
         parted = statistics.stratified_split(df, [TARGET] + ([group] if group else []), place, CUTS)
@@ -64,27 +96,19 @@ def prepare_split(df: DataFrame, categories: Sequence[str], numbers: Sequence[st
             raise ValueError("the data set doesn't have the firms that its parts are drawn by")
         parts = statistics.stratified_split(strata.select(KEY, TARGET), [TARGET], place, CUTS).select(KEY, "split")
         parted = df.join(parts, KEY)
-    train = parted.filter("split = 'train'")
-    out, features = parted, list(numbers)
+    out, features, tables = parted.withColumns({c: F.col(c).cast("double") for c in numbers}), list(numbers), {}
     for c in categories:
-        out = statistics.apply_frequencies(out, c, statistics.frequency_table(train, c, least_share), f"{c}_share")
+        tables[c] = statistics.frequency_table(parted.filter("split = 'train'"), c, least_share)
+        out = statistics.apply_frequencies(out, c, tables[c], f"{c}_share")
         features.append(f"{c}_share")
-    complete = [c for c, n in zip(numbers, df.agg(*(F.count_if(F.col(c).isNull()) for c in numbers)).first(), strict=True) if n == 0]
-    for c in numbers:
-        out = out.withColumn(c, F.col(c).cast("double"))
-        if c not in complete:
-            out = impute_nearest(out, KEY, [x for x in complete if x != c] or [c], c, neighbours, train.withColumn(c, F.col(c).cast("double")))
-    fit = out.filter("split = 'train'")
-    for c in numbers:
-        whole = statistics.quartiles(fit, c).select(F.col("median").alias("_m"), F.col("spread").alias("_s"))
-        stats = out.crossJoin(F.broadcast(whole))
-        if group and c != group:
-            own = statistics.quartiles(fit, c, [group]).select(group, F.col("median").alias("_gm"), F.col("spread").alias("_gs"))
-            stats = stats.join(F.broadcast(own), group, "left")  # a row for each group
-            middle, spread = F.coalesce("_gm", "_m"), F.coalesce("_gs", "_s")
-        else:
-            middle, spread = F.col("_m"), F.col("_s")
-        out = stats.withColumn(c, (F.col(c) - middle) / F.when(spread == 0, 1.0).otherwise(spread)).drop("_m", "_s", "_gm", "_gs")
+    if impute_by:
+        out = group_labels(out, impute_by, tables.get(impute_by))
+    out = cut_lineage(out)
+    out = impute(out, KEY, features, neighbours, out.filter("split = 'train'"), "_group" if impute_by else None)
+    if group:
+        out = group_labels(out, group, tables.get(group))
+    out = cut_lineage(out)
+    out = robust_scaled(out, out.filter("split = 'train'"), features, "_group" if group else None, [group, f"{group}_share"])
     out = out.select(KEY, TARGET, "split", *features, *([group] if group and group not in features else []))
     return Split(*(out.filter(F.col("split") == part) for part, _ in CUTS), features)
 
@@ -102,11 +126,11 @@ def run_once(split: Split, family: str, parameters: Mapping | None, seed: int) -
     return out | {f"{k}_tuned": v for k, v in tuned.items()}, test.select(KEY, TARGET, "score").withColumns({"model": F.lit(family), "seed": F.lit(seed)})
 
 
-def run_grid(df: DataFrame, categories: Sequence[str], numbers: Sequence[str], families: Mapping[str, Mapping], seeds: Sequence[int], group: str | None = None, strata: DataFrame | None = None) -> tuple[list[dict], DataFrame]:
+def run_grid(df: DataFrame, categories: Sequence[str], numbers: Sequence[str], families: Mapping[str, Mapping], seeds: Sequence[int], group: str | None = None, strata: DataFrame | None = None, impute_by: str | None = None) -> tuple[list[dict], DataFrame]:
     """Every family on every seed's split, which all families share."""
     metrics, scored = [], []
     for seed in seeds:
-        split = prepare_split(df, categories, numbers, seed, group, strata=strata)
+        split = prepare_split(df, categories, numbers, seed, group, strata=strata, impute_by=impute_by)
         for family, parameters in families.items():
             row, predictions = run_once(split, family, parameters, seed)
             metrics.append(row)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import semantics as sem
 from tidemark.operators import states, statistics, temporal
+from tidemark.operators.selection import running_medians
 from tidemark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,9 +121,8 @@ def active_pairs_range_join(spark, sf_dir):
   SELECT y.l_suppkey, y.year, count(*) AS n_so_far, round(median(p.l_extendedprice), 6) AS median_so_far FROM years y JOIN parts p ON y.l_suppkey = p.l_suppkey AND p.year <= y.year GROUP BY 1, 2""")
 def triangular_cumulative_median(spark, sf_dir):
     parts = table(spark, sf_dir, "lineitem").select("l_suppkey", F.year("l_shipdate").cast("long").alias("year"), "l_extendedprice")
-    years = parts.select("l_suppkey", F.col("year").alias("until")).distinct()
-    earlier = years.join(parts, "l_suppkey").filter("year <= until")
-    return earlier.groupBy("l_suppkey", F.col("until").alias("year")).agg(F.count(F.lit(1)).alias("n_so_far"), F.round(F.median("l_extendedprice"), 6).alias("median_so_far"))
+    found = running_medians(parts, ["l_suppkey"], "year", "l_extendedprice")
+    return found.select("l_suppkey", "year", F.col("_n").alias("n_so_far"), F.round("_median", 6).alias("median_so_far"))
 
 
 @query("""WITH r AS (SELECT o_orderkey, o_custkey, o_orderdate, c_nationkey, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey),
@@ -582,7 +582,22 @@ def metric_comparison(spark, sf_dir):
   SELECT l_linestatus, count(*) AS n, CAST(sum(CASE WHEN x > 0 THEN rk ELSE 0 END) AS DOUBLE) AS w_plus, CAST(sum(CASE WHEN x < 0 THEN rk ELSE 0 END) AS DOUBLE) AS w_minus FROM r GROUP BY 1""")
 def wilcoxon_w_statistic(spark, sf_dir):
     pairs = table(spark, sf_dir, "lineitem").select("l_linestatus", "l_quantity", F.floor(F.col("l_extendedprice") / 1000).cast("double").alias("other"))
-    return statistics.signed_ranks(pairs, F.col("l_quantity"), F.col("other"), ["l_linestatus"]).select("l_linestatus", "n", "w_plus", "w_minus")
+    difference = F.round(F.col("l_quantity") - F.col("other"), 12)
+    return statistics.signed_ranks(pairs, difference, F.lit(0.0), ["l_linestatus"]).select("l_linestatus", "n", "w_plus", "w_minus")
+
+
+@query("""WITH d AS (SELECT l_orderkey, round(l_extendedprice - 1500 * l_quantity, 2) AS x FROM lineitem),
+  r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(x)) AS rk FROM d WHERE x <> 0),
+  k AS (SELECT l_orderkey, CAST(count(x) FILTER (WHERE x <> 0) AS BIGINT) AS n, count(*) FILTER (WHERE x = 0) AS zeros, count(DISTINCT abs(x)) FILTER (WHERE x <> 0) AS sizes FROM d GROUP BY 1),
+  w AS (SELECT l_orderkey, sum(CASE WHEN x > 0 THEN rk ELSE 0 END) AS up, sum(CASE WHEN x < 0 THEN rk ELSE 0 END) AS down FROM r GROUP BY 1),
+  subsets AS (SELECT m, n, (SELECT coalesce(sum(i), 0) FROM range(1, n + 1) t(i) WHERE (m >> (i - 1)) & 1 = 1) AS s FROM (SELECT n, unnest(range(CAST(2 ** n AS BIGINT))) AS m FROM (SELECT DISTINCT n FROM k))),
+  tails AS (SELECT n, s, count(*) AS c FROM subsets GROUP BY 1, 2)
+  SELECT k.l_orderkey, k.n, CASE WHEN k.n = 0 THEN 1.0 WHEN zeros = 0 AND sizes = k.n THEN round(least(1.0, 2.0 * (SELECT sum(c) FROM tails t WHERE t.n = k.n AND t.s <= least(up, down)) / 2 ** k.n), 9) END AS p_value
+  FROM k LEFT JOIN w USING (l_orderkey)""")
+def signed_rank_p_values(spark, sf_dir):
+    pairs = table(spark, sf_dir, "lineitem").select("l_orderkey", F.round(F.col("l_extendedprice") - 1500 * F.col("l_quantity"), 2).alias("x"))
+    found = statistics.signed_ranks(pairs, F.col("x"), F.lit(0.0), ["l_orderkey"])
+    return found.select("l_orderkey", "n", F.when(F.col("exact") | (F.col("n") == 0), F.round("p_value", 9)).alias("p_value"))
 
 
 @query("""WITH a AS (SELECT event_type AS feature, avg(abs(value)) AS v, row_number() OVER (ORDER BY avg(abs(value)) DESC, event_type) AS r FROM events WHERE event_id % 2 = 0 GROUP BY 1),
