@@ -1,9 +1,9 @@
 """Classifiers by family: fit on a frame of features, score another, explain single rows.
 
 Features are columns of numbers; `weight` balances the classes.  The kernel machine
-is a linear one with its margins calibrated, and the network has logistic units: Spark
-has neither a radial kernel nor other activations.  A pretrained transformer isn't
-offered.
+is a linear one on random Fourier features of a radial kernel, with its margins
+calibrated; boosted trees and the network are this package's own.  A pretrained
+transformer isn't offered.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import classification as ml
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.models.boosting import Boosted
+from tidemark.models.network import Network
+
 LABEL, WEIGHT, VECTOR = "target", "_weight", "_features"
 
 
@@ -33,8 +36,8 @@ def forest(trees: int = 200, depth: int = 15, seed: int = 1) -> ml.RandomForestC
     return ml.RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="log2", weightCol=WEIGHT, seed=seed)
 
 
-def boosted(rounds: int = 50, depth: int = 5, seed: int = 1) -> ml.GBTClassifier:
-    return ml.GBTClassifier(maxIter=rounds, maxDepth=depth, weightCol=WEIGHT, seed=seed)
+def boosted(rounds: int = 50, leaves: int = 31, depth: int = -1, rate: float = 0.1, least_rows: int = 20, l1: float = 0.0, l2: float = 0.0, seed: int = 1) -> Boosted:
+    return Boosted(rounds, leaves, depth, rate, least_rows, l1=l1, l2=l2, seed=seed)
 
 
 def tree(depth: int = 5, seed: int = 1) -> ml.DecisionTreeClassifier:
@@ -45,12 +48,50 @@ def logistic(penalty: float = 0.01, seed: int = 1) -> ml.LogisticRegression:
     return ml.LogisticRegression(regParam=penalty, elasticNetParam=0.0, weightCol=WEIGHT)
 
 
-def kernel(penalty: float = 0.01, seed: int = 1) -> ml.LinearSVC:
-    return ml.LinearSVC(regParam=penalty, weightCol=WEIGHT)
+def kernel(penalty: float = 0.001, waves: int = 256, gamma: float | None = None, seed: int = 1) -> Kernel:
+    return Kernel(penalty, waves, gamma, seed)
+
+
+@dataclass
+class Kernel:
+    """A linear machine on cosine waves whose inner products come near a radial kernel's exp(-gamma * distance squared).
+
+    Without gamma, it is 1 / (features * variance of all values).
+    """
+
+    penalty: float
+    waves: int
+    gamma: float | None
+    seed: int
+    directions: np.ndarray | None = None
+    offsets: np.ndarray | None = None
+
+    def drawn(self, rows: DataFrame, features: Sequence[str]) -> None:
+        gamma = self.gamma
+        if gamma is None:
+            values = F.explode(F.array(*(F.col(f"`{c}`").cast("double") for c in features))).alias("v")
+            variance = rows.select(values).agg(F.var_pop("v")).first()[0] or 1.0
+            gamma = 1 / (len(features) * variance)
+        rng = np.random.default_rng(self.seed)
+        self.directions = rng.normal(0, np.sqrt(2 * gamma), (len(features), self.waves))
+        self.offsets = rng.uniform(0, 2 * np.pi, self.waves)
+
+    def mapped(self, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+        directions, offsets = self.directions, self.offsets
+
+        @F.pandas_udf("array<double>")
+        def waved(points: pd.Series) -> pd.Series:
+            x = np.stack(points.to_list()) if len(points) else np.zeros((0, len(directions)))
+            return pd.Series(list(np.sqrt(2 / len(offsets)) * np.cos(x @ directions + offsets)))
+
+        return rows.withColumn(VECTOR, array_to_vector(waved(F.array(*(F.col(f"`{c}`").cast("double") for c in features)))))
+
+    def estimator(self) -> ml.LinearSVC:
+        return ml.LinearSVC(regParam=self.penalty, weightCol=WEIGHT)
 
 
-def network(hidden: Sequence[int] = (64, 32), rounds: int = 100, seed: int = 1) -> Callable[[int], ml.MultilayerPerceptronClassifier]:
-    return lambda inputs: ml.MultilayerPerceptronClassifier(layers=[inputs, *hidden, 2], maxIter=rounds, seed=seed)
+def network(hidden: Sequence[int] = (512, 256, 128), rounds: int = 100, rate: float = 1e-3, dropout: float = 0.3, decay: float = 1e-2, batch_rows: int = 4096, patience: int = 10, seed: int = 1) -> Network:
+    return Network(tuple(hidden), rate, dropout, decay, batch_rows, rounds, patience, seed=seed)
 
 
 FAMILIES: dict[str, Callable] = {"rf": forest, "lgb": boosted, "dt": tree, "lr": logistic, "svm": kernel, "mlp": network}
@@ -70,18 +111,31 @@ class Family:
     features: list[str] = field(default_factory=list)
     fitted: object = None
     calibration: object = None
+    waves: Kernel | None = None
 
     def vectors(self, df: DataFrame) -> DataFrame:
+        if self.waves:
+            return self.waves.mapped(df, self.features)
         return VectorAssembler(inputCols=self.features, outputCol=VECTOR, handleInvalid="error").transform(df)
 
-    def fit(self, train: DataFrame, features: Sequence[str], label: str = LABEL) -> Family:
+    def fit(self, train: DataFrame, features: Sequence[str], label: str = LABEL, validation: DataFrame | None = None) -> Family:
+        """The network stops early by the rows of `validation`, or by a fifth of the training rows where there are none."""
         self.features = list(features)
         made = FAMILIES[self.name](**self.parameters, seed=self.seed)
-        estimator = made(len(self.features)) if self.name == "mlp" else made
-        estimator = estimator.setFeaturesCol(VECTOR).setLabelCol(label)
-        rows = self.vectors(train.withColumn(label, F.col(label).cast("double")))
-        if self.name != "mlp":
-            rows = rows.withColumn(WEIGHT, balanced(train, label))
+        if isinstance(made, Boosted):
+            self.fitted = made.fit(train, self.features, label)
+            return self
+        if isinstance(made, Network):
+            if validation is None:
+                fifth = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in self.features), F.lit(self.seed)), F.lit(5)) == 0
+                train, validation = train.filter(~fifth), train.filter(fifth)
+            self.fitted = made.fit(train, self.features, label, validation)
+            return self
+        if isinstance(made, Kernel):
+            made.drawn(train, self.features)
+            self.waves, made = made, made.estimator()
+        estimator = made.setFeaturesCol(VECTOR).setLabelCol(label)
+        rows = self.vectors(train.withColumn(label, F.col(label).cast("double"))).withColumn(WEIGHT, balanced(train, label))
         self.fitted = estimator.fit(rows)
         if self.name == "svm":
             margins = self.margins(rows)
@@ -94,6 +148,8 @@ class Family:
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
         """`df` with the probability of the positive class."""
+        if isinstance(self.fitted, (Boosted, Network)):
+            return self.fitted.score(df, name)
         rows = self.vectors(df)
         if self.name == "svm":
             a, b = float(self.calibration.coefficients[0]), float(self.calibration.intercept)

@@ -115,7 +115,7 @@ def prepare_split(df: DataFrame, categories: Sequence[str], numbers: Sequence[st
 
 def run_once(split: Split, family: str, parameters: Mapping | None, seed: int) -> tuple[dict, DataFrame]:
     """Test metrics at one half and at the threshold of the best validation F1, and the scored test rows."""
-    model = build(family, parameters, seed).fit(split.train, split.features)
+    model = build(family, parameters, seed).fit(split.train, split.features, validation=split.validation)
     validation, test = model.score(split.validation), model.score(split.test)
     positive = F.col(TARGET) == 1
     threshold = statistics.best_f1_threshold(validation, "score", positive).first().threshold
