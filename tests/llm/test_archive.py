@@ -158,6 +158,27 @@ def test_names_inside_articles():
     assert [b.text for b in html_blocks.blocks(page) if not b.beside] == ["Related work", "Prices rose", "History", "Let x be"]
 
 
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ("<main><h1>T</h1><p>Text</p><article class='comment'><p>first!</p></article><p>More</p></main>", ["T", "Text", "More"]),
+        ("<article>Text</article><section id='comments'><article>c1</article><article>c2</article></section><p>End</p>", ["Text", "End"]),
+        ("<article><p>Text</p><ul><li>One<li class='share'>Share this</li><li>Two</li></ul><p class='advert'>Buy now</p><p>End</p></article>", ["Text", "One", "Two", "End"]),
+        ("<main><article><p>a</p></article><article hidden><p>b</p></article><article role='complementary'>c</article></main>", ["a"]),
+        ("<div class='sidebar'><p>Side<article><p>Text</p></article>", ["Text"]),
+        ("<main><div class='comments'><article><p>x</p><article>y</article></article><p>z</p></div><p>Text</p></main>", ["Text"]),
+    ],
+)
+def test_comments_and_adverts_of_articles(page, wanted):
+    assert [b.text for b in html_blocks.blocks(page) if not b.beside] == wanted
+
+
+def test_shared_headlines_stay(spark):
+    rows = [(k, f"http://a.com/{k}", f"<article><h1>Letters to the editor</h1><p>Own {k}</p><p>Own too {k}</p><p>Subscribe</p></article>") for k in range(4)]
+    found = {r.page_id: r.text for r in page_differencing.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {k: f"Letters to the editor\nOwn {k}\nOwn too {k}" for k in range(4)}
+
+
 def neighbours_by_brute_force(rows):
     """Text by page: every page of a host against the two before and after it, lines aligned by the quadratic table."""
 
@@ -272,6 +293,8 @@ def test_spacing_is_decoded():
 
     model = Model(trigrams(["you are a stupid idiot and a good nation so is it", "an idiot is a stupid man a idiot a window"] * 20))
     assert nc.spelt_out("x\ns t u p i d\n i d i o t", model) == ["stupid", "idiot"]
+    for gap in (" " * 4, " " * 40, "\n" * 4, " \t\r\n"):
+        assert nc.spelt_out(f"you {gap.join('idiot')} there", model) == ["idiot"], repr(gap)
     assert nc.spelt_out("you  i  d  i  o  t", model) == ["idiot"] and nc.spelt_out("i\td\ti\to\tt", model) == ["idiot"] and nc.spelt_out("s-t-u-p-i-d", model) == ["stupid"]
     assert nc.joins("id", "iot", model) and not nc.joins("good", "nation", model)
     assert nc.restored("i" * 300 + "di" + "o" * 200 + "t", model) == "idiot"

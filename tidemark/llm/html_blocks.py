@@ -31,6 +31,12 @@ NAMES = {
     "share-buttons", "share-links", "social-links", "social-share", "related-posts", "related-articles", "related-links", "comment-list", "comment-section", "comments-area",
     "newsletter-signup", "subscribe-box", "ad-slot", "ad-container", "ad-banner", "cookie-banner", "cookie-notice", "skip-link",
 }
+#: Those by which also a paragraph or list item of an article goes.
+ADVERTS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "share", "sharing", "social",
+    "share-buttons", "share-links", "social-links", "social-share", "ad-slot", "ad-container", "ad-banner",
+}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 @dataclass
@@ -38,6 +44,7 @@ class Block:
     text: str
     inside: bool  # in an article or main element
     beside: bool  # in a menu, a footer, an advert and the like
+    heading: bool = False
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -46,7 +53,7 @@ def attributes(text: str) -> dict[str, str]:
 
 def stands_beside(tag: str, given: dict[str, str], inside: bool) -> bool:
     """Whether an element holds no main text, by its kind, role, names or being hidden."""
-    if tag in ("article", "main", "body", "html"):
+    if tag in ("main", "body", "html") or (tag == "article" and not inside):
         return False
     if tag in BESIDE or (tag == "header" and not inside) or given.get("role", "").lower() in ROLES:
         return True
@@ -55,7 +62,8 @@ def stands_beside(tag: str, given: dict[str, str], inside: bool) -> bool:
     names = f"{given.get('class', '')} {given.get('id', '')}".lower().split()
     if inside:
         # in an article an element may be named for what it tells of: a heading or paragraph never goes by its name, others only by whole names
-        return tag not in TEXT and any(name in NAMES for name in names)
+        # but for adverts and share items
+        return any(name in (ADVERTS if tag in ("p", "li") else NAMES) for name in names) and (tag not in TEXT or tag in ("p", "li"))
     return any(word in NAMES or word == "header" for name in names for word in WORDS.findall(name))
 
 
@@ -63,19 +71,22 @@ def blocks(page: str) -> list[Block]:
     """The non-empty blocks of a page in order, character references decoded and white space made one space.
 
     An element left open ends with the one around it, a paragraph or list item with
-    the next; the first article or main element ends whatever stood beside it.
+    the next; the first article or main element ends whatever stood beside it.  A later
+    article in what stands beside (a comment, say) stands beside too, and so does one in
+    an article by its role or names.
     """
     out: list[Block] = []
     words: list[str] = []
     beside: list[str] = []  # open elements of the kind of the outermost that stands beside, that one first
     depth = at = 0  # depth: of articles and mains
-    seen = False  # whether there was one
+    hidden = 0  # articles and mains open in what stands beside
+    seen = heading = False  # whether there was an article or main; whether a heading is open
 
     def close() -> None:
         text = SPACES.sub(" ", html.unescape("".join(words))).strip(" ")
         words.clear()
         if text:
-            out.append(Block(text, depth > 0, bool(beside)))
+            out.append(Block(text, depth > 0, bool(beside), heading))
 
     end = len(page)
     while at < end:
@@ -102,24 +113,34 @@ def blocks(page: str) -> list[Block]:
             words.append(" ")
         elif tag in BLOCKS:
             close()
+        if tag in HEADINGS:
+            heading = not closing
         if closing:
-            if tag in ("article", "main"):
+            own = tag not in ("article", "main") or not hidden
+            if not own:
+                hidden -= 1
+            elif tag in ("article", "main"):
                 depth = max(0, depth - 1)
             if beside and tag == beside[0]:
                 beside.pop()
-            elif beside and tag in ("article", "main", "body", "html") and depth == 0:
+                hidden = hidden if beside else 0
+            elif own and beside and tag in ("article", "main", "body", "html") and depth == 0:
                 beside.clear()
+                hidden = 0
             continue
         if tag in ("article", "main") and not seen:
             beside.clear()
+            hidden = 0
             seen = True
         if beside:
             if beside[0] in ("p", "li") and (tag == beside[0] or (beside[0] == "p" and tag in BLOCKS and tag != "br")):
                 beside.clear()
             elif tag == beside[0] and tag not in VOID:
                 beside.append(tag)
-        if tag in ("article", "main"):
+        if tag in ("article", "main") and not beside and not stands_beside(tag, attributes(m[3]), depth > 0):
             depth += 1
+        elif tag in ("article", "main"):
+            hidden += 1
         if not beside and tag not in VOID and not m[3].endswith("/"):
             given = attributes(m[3]) if m[3] else {}
             if stands_beside(tag, given, depth > 0):

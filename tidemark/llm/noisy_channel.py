@@ -26,8 +26,8 @@ SEPARATORS = ".-_*~'`^"
 ENDS = " .,;:?\"')]}%#&<>/\\=[{"
 
 #: Three or more single characters, parted by white space or a separator.
-SPELT = re.compile(r"(?<!\S)(?:\S(?:\s{1,3}|[.\-_*~])){2,}\S(?!\S)")
-PART = re.compile(r"(\S)(\s{1,3}|[.\-_*~]|\Z)")
+SPELT = re.compile(r"(?<!\S)(?:\S(?:\s++|[.\-_*~])){2,}\S(?!\S)")
+PART = re.compile(r"(\S)(\s++|[.\-_*~]|\Z)")
 THRICE = re.compile(r"(.)\1\1")
 DISGUISED = re.compile(r"[\W\d_]|(.)\1\1")
 

@@ -81,9 +81,12 @@ def parsed_pages(pages: DataFrame, borders: Broadcast) -> DataFrame:
             for page in batch.column(2).to_pylist():
                 found = blocks(page or "")
                 article = any(b.inside and not b.beside for b in found)
-                lines.append([b.text for b in found if not b.beside and b.inside == article])
+                own = [b for b in found if not b.beside and b.inside == article]
+                lines.append([b.text for b in own])
                 inside.append(article)
-                inner.append([checksum(x) for x in lines[-1]] if article else [])
+                # an article's headings equal no other page's: several articles may well have the same
+                alone = checksum(page or "") << 24
+                inner.append([-1 - (alone + k) if b.heading else checksum(b.text) for k, b in enumerate(own)] if article else [])
                 outer.append([checksum(b.text) for b in found if not b.inside and (article or not b.beside)])
             places = [place(borders.value, *x) for x in zip(*(batch.column(k).to_pylist() for k in (3, 4, 0)), strict=True)]
             rows = pa.array([k for k, (_, shown) in enumerate(places) for _ in range(1 + len(shown))], pa.int64())
