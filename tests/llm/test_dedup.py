@@ -183,3 +183,29 @@ def test_join_on_hot_keys(spark, most):
     weighed = values.join(rows.groupBy("key").agg(F.count("*").alias("w")), "key", "left").fillna(0, ["w"])
     found = sorted(tuple(r) for r in joined_on_hot(rows, weighed, "key", "w", 401, most).collect())
     assert found == sorted(tuple(r) for r in rows.join(values, "key").collect())
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_components_of_chains_and_stars(spark, parts):
+    from tidemark.llm.components import components
+
+    rng = random.Random(5)
+    chain, star = [(k, k + 1) for k in range(1000, 1200)], [(5, k) for k in range(2000, 2400)]
+    some = [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)]
+    edges = [*chain, *star, *some, (7, 7), (None, 3), (1200, 2001)]
+    rng.shuffle(edges)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(parts)
+    found = [(r.node, r.root) for r in components(frame).collect()]
+    assert len(found) == len(set(found)) and dict(found) == {x: find(x) for x in list(root)}
+    assert components(frame.filter("a = b")).count() == 0
