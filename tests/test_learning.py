@@ -111,3 +111,22 @@ def test_streams(spark, tmp_path):
     assert sorted((r.user_id, r.n_so_far, r.ended) for r in found) == [(1, 1, False), (1, 2, True), (2, 1, False)]
     counts = result(windowed_counts(source(), "ts", [], "5 minutes", "10 minutes"), "windows", "complete").collect()
     assert sorted((r.n, r.value) for r in counts) == [(1, 8.0), (3, 7.0)]
+
+
+def test_states_of_a_key_in_several_batches(spark, tmp_path):
+    """The order is that of time over the whole micro-batch, though each Arrow batch holds two rows."""
+    rows = [(1, f"2024-01-01 00:{m:02d}:00", "error" if m == 7 else "view") for m in (9, 3, 7, 1, 8, 5, 0, 6, 2, 4)]
+    frame = spark.createDataFrame(rows, "user_id long, ts string, kind string").withColumn("ts", F.to_timestamp("ts"))
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        states = running_states(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), "user_id", "ts", "kind", "error")
+        query = states.writeStream.outputMode("append").format("memory").queryName("several").option("checkpointLocation", str(tmp_path / "c")).start()
+        query.processAllAvailable()
+        query.stop()
+    finally:
+        spark.conf.set(name, before)
+    found = sorted((r.ts.minute, r.n_so_far, r.ended) for r in spark.table("several").collect())
+    assert found == [(m, m + 1, m == 7) for m in range(8)]

@@ -95,6 +95,8 @@ def network(hidden: Sequence[int] = (512, 256, 128), rounds: int = 100, rate: fl
 
 
 FAMILIES: dict[str, Callable] = {"rf": forest, "lgb": boosted, "dt": tree, "lr": logistic, "svm": kernel, "mlp": network}
+#: Those that compare or sum features, so that scaling makes a difference to them.
+SCALED = ("lr", "svm", "mlp")
 
 
 def build(family: str, parameters: Mapping | None = None, seed: int = 1) -> Family:

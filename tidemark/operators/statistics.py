@@ -123,6 +123,13 @@ def ranking_metrics(df: DataFrame, score: str, positive: Column, keys: list[str]
     return out.withColumn("lift", F.col("average_precision") / F.col("prevalence"))
 
 
+def curve_points(df: DataFrame, score: str, positive: Column) -> DataFrame:
+    """The points of both curves, one for each distinct score from which rows count as positive: shares of negatives and positives that do (`fpr`, `tpr`), and `precision`."""
+    c = cumulative_counts(by_score(df, score, positive), score)
+    share = lambda part, of: F.when(of > 0, part / of)
+    return c.select(F.col(score).alias("threshold"), share(F.col("fp"), F.col("negatives")).alias("fpr"), share(F.col("tp"), F.col("positives")).alias("tpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+
+
 def best_f1_threshold(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """The least score whose cut (score >= threshold) has the greatest F1, and that F1."""
     c = cumulative_counts(by_score(df, score, positive), score)

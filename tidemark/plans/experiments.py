@@ -9,13 +9,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.models.families import build
+from tidemark.models.families import FAMILIES, SCALED, build
 from tidemark.operators import statistics
 from tidemark.operators.selection import exact_quantiles
 from tidemark.plans import evaluation
 from tidemark.plans.dataset import ablate, same_keys, swap_target
 from tidemark.plans.imputation import impute
 from tidemark.plans.rules import COLUMNS
+from tidemark.sources.stores import content_key, kept_frames
 from tidemark.sources.tables import cut_lineage
 
 KEY, TARGET = "CompanyID", "target"
@@ -113,6 +114,19 @@ def prepare_split(df: DataFrame, categories: Sequence[str], numbers: Sequence[st
     return Split(*(out.filter(F.col("split") == part) for part, _ in CUTS), features)
 
 
+def kept_split(df: DataFrame, categories: Sequence[str], numbers: Sequence[str], seed: int, folder: str, tag: str, force: bool = False, **options) -> Split:
+    """`prepare_split`, kept below `folder` by tag, seed, content and options."""
+    strata = options.get("strata")
+    parameters = {k: v for k, v in options.items() if k != "strata"} | {"categories": sorted(categories), "numbers": list(numbers), "strata": None if strata is None else content_key(strata.select(KEY, TARGET), {})}
+
+    def build() -> tuple[dict[str, DataFrame], dict]:
+        made = prepare_split(df, categories, numbers, seed, **options)
+        return {"train": made.train, "validation": made.validation, "test": made.test}, {"features": made.features}
+
+    frames, notes = kept_frames(df.sparkSession, folder, tag, seed, df, parameters, build, force)
+    return Split(**frames, features=notes["features"])
+
+
 def run_once(split: Split, family: str, parameters: Mapping | None, seed: int) -> tuple[dict, DataFrame]:
     """Test metrics at one half and at the threshold of the best validation F1, and the scored test rows."""
     model = build(family, parameters, seed).fit(split.train, split.features, validation=split.validation)
@@ -126,11 +140,12 @@ def run_once(split: Split, family: str, parameters: Mapping | None, seed: int) -
     return out | {f"{k}_tuned": v for k, v in tuned.items()}, test.select(KEY, TARGET, "score").withColumns({"model": F.lit(family), "seed": F.lit(seed)})
 
 
-def run_grid(df: DataFrame, categories: Sequence[str], numbers: Sequence[str], families: Mapping[str, Mapping], seeds: Sequence[int], group: str | None = None, strata: DataFrame | None = None, impute_by: str | None = None) -> tuple[list[dict], DataFrame]:
-    """Every family on every seed's split, which all families share."""
+def run_grid(df: DataFrame, categories: Sequence[str], numbers: Sequence[str], families: Mapping[str, Mapping], seeds: Sequence[int], group: str | None = None, strata: DataFrame | None = None, impute_by: str | None = None, folder: str | None = None, tag: str = "") -> tuple[list[dict], DataFrame]:
+    """Every family on every seed's split, which all families share; with `folder` splits are kept there."""
     metrics, scored = [], []
     for seed in seeds:
-        split = prepare_split(df, categories, numbers, seed, group, strata=strata, impute_by=impute_by)
+        options = {"group": group, "strata": strata, "impute_by": impute_by}
+        split = kept_split(df, categories, numbers, seed, folder, tag, **options) if folder else prepare_split(df, categories, numbers, seed, **options)
         for family, parameters in families.items():
             row, predictions = run_once(split, family, parameters, seed)
             metrics.append(row)
@@ -138,6 +153,21 @@ def run_grid(df: DataFrame, categories: Sequence[str], numbers: Sequence[str], f
     return metrics, reduce(DataFrame.unionByName, scored)
 
 
+def grouped_variants(names: Sequence[str], groups: Mapping[str, str], steps: Sequence[str] = ("impute", "scale", "both")) -> dict[str, dict]:
+    """Settings with imputation, scaling or both fitted by a group (its name and column): by tag the setting, the two columns that `run_grid` takes, and the families that the step makes a difference to."""
+    fitted = {"impute": (True, False), "scale": (False, True), "both": (True, True)}
+    if unknown := set(steps) - set(fitted):
+        raise ValueError(f"unknown steps {sorted(unknown)}; there are {', '.join(fitted)}")
+    variants = {}
+    for name in names:
+        for g, column in groups.items():
+            for step in steps:
+                fill, scale = fitted[step]
+                families = [f for f in FAMILIES if f in SCALED] if step == "scale" else list(FAMILIES)
+                variants[f"{name}_{step}-{g}"] = {"setting": name, "impute_by": column if fill else None, "group": column if scale else None, "families": families}
+    return variants
+
+
 def settings(controlled: DataFrame, leakboth: DataFrame, without_team: Sequence[str], without_rounds: Sequence[str]) -> dict[str, DataFrame]:
     """The six experiments: both data sets, two ablations, and the two with each other's target."""
     return {

@@ -540,6 +540,13 @@ def scored(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("pos"), F.round(score, 3).alias("score"))
 
 
+@query(f"""WITH {SCORED}, c AS (SELECT score, sum(pos::INT) AS p, sum((NOT pos)::INT) AS n FROM s GROUP BY 1), t AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp, sum(p) OVER () AS np, sum(n) OVER () AS nn FROM c)
+  SELECT score AS threshold, round(CAST(fp AS DOUBLE) / nn, 9) AS fpr, round(CAST(tp AS DOUBLE) / np, 9) AS tpr, round(CAST(tp AS DOUBLE) / (tp + fp), 9) AS precision FROM t""")
+def curve_point_data(spark, sf_dir):
+    points = statistics.curve_points(scored(spark, sf_dir), "score", F.col("pos"))
+    return points.select("threshold", *(F.round(c, 9).alias(c) for c in ("fpr", "tpr", "precision")))
+
+
 @query(f"""WITH {SCORED}, c AS (SELECT score, sum(pos::INT) AS p, sum((NOT pos)::INT) AS n FROM s GROUP BY 1), t AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp, sum(p) OVER () AS np, sum(n) OVER () AS nn FROM c)
   SELECT round(CAST(sum(p * (nn - fp + n / 2.0)) AS DOUBLE) / (max(np) * max(nn)), 9) AS auc, round(sum(CAST(p AS DOUBLE) / np * tp / (tp + fp)), 9) AS average_precision, round(CAST(max(np) AS DOUBLE) / (max(np) + max(nn)), 9) AS prevalence FROM t""")
 def auc_ap_metrics(spark, sf_dir):

@@ -14,9 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_raw(spark: SparkSession, path: str, columns: Sequence[str], header: Sequence[str] | None = None) -> DataFrame:
-    """A CSV file with a header, every column text (nothing is inferred, so that keys like 000001-01 stay), quoted fields with line breaks allowed; projected to `columns`."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("inferSchema", False)
+def read_raw(spark: SparkSession, path: str, columns: Sequence[str], header: Sequence[str] | None = None, multi_line: bool = True) -> DataFrame:
+    """A CSV file with a header (without `multi_line`, fields hold no line breaks, and Spark splits large files), every column text (nothing is inferred, so that keys like 000001-01 stay), quoted fields with line breaks allowed; projected to `columns`."""
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("inferSchema", False)
     if header:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in header]))
     return reader.csv(path).select(*(F.col(f"`{c}`") for c in columns))

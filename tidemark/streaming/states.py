@@ -17,20 +17,20 @@ def windowed_counts(events: DataFrame, time: str, keys: list[str], width: str, l
 
 
 def running_states(events: DataFrame, key: str, time: str, kind: str, terminal: str) -> DataFrame:
-    """For each event of a key, in the order of time within a batch, how many came so far and whether the terminal one has been reached; events after it are left out."""
+    """For each event of a key, in the order of time within a micro-batch, how many came so far and whether the terminal one has been reached; events after it are left out."""
 
     def step(keys: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, ended = state.get if state.exists else (0, False)
-        for batch in batches:
-            batch = batch.sort_values([time])
-            rows = []
-            for t, k in zip(batch[time], batch[kind], strict=True):
-                if ended:
-                    break
-                n, ended = n + 1, k == terminal
-                rows.append((keys[0], t, k, n, ended))
-            if rows:
-                yield pd.DataFrame(rows, columns=[key, time, kind, "n_so_far", "ended"])
+        # a key's events of a micro-batch may come in several batches; the source's limits bound them
+        events = pd.concat(list(batches)).sort_values([time], kind="stable")
+        rows = []
+        for t, k in zip(events[time], events[kind], strict=True):
+            if ended:
+                break
+            n, ended = n + 1, k == terminal
+            rows.append((keys[0], t, k, n, ended))
+        if rows:
+            yield pd.DataFrame(rows, columns=[key, time, kind, "n_so_far", "ended"])
         state.update((n, ended))
 
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
