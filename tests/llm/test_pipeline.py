@@ -54,3 +54,16 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_run_on_awkward_documents(spark, sf_dir, documents, nothing, awkward, tmp_path):
+    """Nulls, empty and very long texts, copies and clashing columns; and no documents at all."""
+    for name in ("labels", "benchmark"):
+        table(spark, sf_dir, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r.doc_id for r in rows}
+    assert {0, 1, 2, 3, 13} <= kept <= set(awkward) and 7 not in kept and 4 not in kept  # copies of 6 and 3
+    assert {(r.start, r.length, r.doc_tokens) for r in rows if r.doc_id == 0} == {(0, 1, 1)}
+    nothing.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
