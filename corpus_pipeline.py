@@ -3,6 +3,14 @@
 Each stage reads what the one before has written.  Toxic documents go, one document
 of each group of near copies stays, strings that repeat across documents are cut
 out, documents that hold benchmark passages go, and the rest is packed.
+
+Defined cases: a null or empty text is not toxic, near nothing and not contaminated;
+it stays as it is and packs as its closing id alone.  Rows of one id are one document:
+they stay or go together; rows without an id stay.  Of documents of equal texts the
+one of the smallest id stays.  Columns beside those of documents are carried along,
+whatever their names, up to packing, which returns its own.  No rows give none.
+Stages are written below the shared folder and stay there, since the result reads
+the last of them when it is asked for.
 """
 
 from __future__ import annotations
