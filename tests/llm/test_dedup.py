@@ -185,10 +185,11 @@ def test_join_on_hot_keys(spark, most):
     assert found == sorted(tuple(r) for r in rows.join(values, "key").collect())
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_components_of_chains_and_stars(spark, parts):
+@pytest.mark.parametrize(("parts", "task_edges"), [(1, 1 << 18), (7, 100)])
+def test_components_of_chains_and_stars(spark, monkeypatch, parts, task_edges):
     from tidemark.llm.components import components
 
+    monkeypatch.setattr(cc, "TASK_EDGES", task_edges)
     rng = random.Random(5)
     chain, star = [(k, k + 1) for k in range(1000, 1200)], [(5, k) for k in range(2000, 2400)]
     some = [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)]

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from .tables import checkpointed, joined_on_hot
 from .worker import begin
 
+#: Edges that a task contracts, about.
+TASK_EDGES = 1 << 18
+
 
 def _contracted(edges: DataFrame) -> DataFrame:
     """The edges of each partition as stars around the least node that they reach there: the same components with fewer edges and shorter ways, without a shuffle."""
@@ -70,7 +73,14 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     now = checkpointed(_contracted(pairs).distinct())
     count = now.count()
-    while count and not _stars(now, count):
-        now = checkpointed(_contracted(_hang(_hang(now, count, True), count, False)).distinct())
+    while count:
+        tasks = -(-count // TASK_EDGES)
+        now = now.coalesce(tasks)  # few edges make few tasks, which have more to contract
+        if tasks == 1:
+            now = checkpointed(_contracted(now))
+            break
+        if _stars(now, count):
+            break
+        now = checkpointed(_contracted(_hang(_hang(_contracted(now), count, True).coalesce(tasks), count, False).coalesce(tasks)).distinct())
         count = now.count()
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
