@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,17 +14,17 @@ def windowed(panel: DataFrame, horizon: int, oldest_start: int, last_decision: i
     The panel has key, founded, age, stage, next_stage ("Stay" for none) and time_next.
     The target looks no further than the horizon, nor than the entity's last staged row.
     """
-    staged = panel.filter("stage IS NOT NULL")
-    ages = staged.groupBy(key).agg(F.min("age").alias("_first"), F.max("age").alias("_last"), F.bool_or(F.col("stage") == early).alias("_early")).filter(F.col("_early") & (F.col("_first") <= oldest_start))
-    ages = ages.select(key, "_first", F.least(F.col("_first") + horizon, F.col("_last")).alias("_target"))
-    at = panel.join(ages, key)
-    then = at.filter("age = _target").select(key, F.when((F.col("age") + F.col("time_next") <= F.col("_first") + horizon) & (F.col("next_stage") != "Stay"), F.col("next_stage")).otherwise(F.col("stage")).alias("target"))
-    start = at.filter("age = _first").drop("_first", "_target")
-    decided = F.col(founded) + F.col("age")
-    kept = start.filter(decided <= last_decision)
+    whole = Window.partitionBy(key)  # one shuffle: the rows of an entity are as many as its years
+    age, staged = F.col("age"), F.when(F.col("stage").isNotNull(), F.col("age"))
+    rows = panel.filter(F.col(key).isNotNull()).withColumns({"_first": F.min(staged).over(whole), "_last": F.max(staged).over(whole), "_early": F.bool_or(F.col("stage") == early).over(whole)})
+    rows = rows.filter(F.col("_early") & (F.col("_first") <= oldest_start)).withColumn("_target", F.least(F.col("_first") + horizon, F.col("_last")))
+    reached = F.when((age + F.col("time_next") <= F.col("_first") + horizon) & (F.col("next_stage") != "Stay"), F.col("next_stage")).otherwise(F.col("stage"))
+    rows = rows.withColumns({"_there": F.bool_or(age == F.col("_target")).over(whole), "target": F.max(F.when(age == F.col("_target"), reached)).over(whole)})
+    decided = F.col(founded) + age
+    kept = rows.filter((age == F.col("_first")) & F.col("_there") & (decided <= last_decision))
     if first_decision is not None:
         kept = kept.filter(decided >= first_decision)
-    return kept.join(then, key)
+    return kept.select(key, *(c for c in panel.columns if c != key), "target")
 
 
 def full_history(panel: DataFrame, targets: DataFrame, summed: Sequence[str], averaged: Mapping[str, str], last: Sequence[str], key: str = "o_custkey", order: str = "age") -> DataFrame:

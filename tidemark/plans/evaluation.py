@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,8 @@ from tidemark.operators import statistics
 
 #: The order in which metrics stand in a table.
 METRICS = ["auc", "average_precision", "lift", "f1", "accuracy", "precision", "recall", "prevalence"]
+#: The order in which families of models stand in a table.
+MODELS = ["lr", "dt", "rf", "lgb", "svm", "mlp", "tabpfn"]
 
 
 def long_metrics(runs: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -33,6 +36,72 @@ def compare_models(runs: DataFrame, by: str, metrics: Sequence[str], first: str,
     return wide.withColumn("change", change).orderBy(F.array_position(F.lit(METRICS), F.col("metric")))
 
 
+def metric_place(metric: str) -> tuple[int, str]:
+    """Where a metric stands in a table: area under the curve, average precision and its lift, then F1, precision, recall and accuracy (that of training rows last), all others after them by name."""
+    name = " ".join(metric.lower().replace("_", " ").replace("-", " ").split())
+    exact = {"ap": 1, "average precision": 1, "ap lift": 2, "lift": 2}
+    if name in exact:
+        return exact[name], metric.lower()
+    for place, part in ((0, "auc"), (3, "f1"), (3, "f 1"), (4, "prec"), (5, "rec"), (6, "acc")):
+        if part in name:
+            return (7 if part == "acc" and "train" in name else place), metric.lower()
+    return 99, metric.lower()
+
+
+def model_place(model: Column) -> Column:
+    """Where a model stands in a table: by the family that its name begins with, all others after them."""
+    known = [F.when(F.lower(model).startswith(m), k) for k, m in enumerate(MODELS)]
+    return F.coalesce(*known, F.lit(len(MODELS)))
+
+
+def cell(mean: Column, deviation: Column, digits: int, latex: bool) -> Column:
+    """A mean and its deviation as text."""
+    form = f"%.{digits}f"
+    return F.format_string(f"${form} \\pm {form}$" if latex else f"{form} ± {form}", mean, deviation)
+
+
+def change_cell(first: Column, second: Column, digits: int, latex: bool) -> Column:
+    """The change between two means in percent, as a reader of the rounded ones would reckon it; empty from 0."""
+    a, b = F.round(first, digits), F.round(second, digits)
+    change = (b - a) / F.when(a != 0, a) * 100.0
+    sign = F.when(change >= 0, "+").otherwise("-")
+    if latex:
+        shown = F.format_string("(\\textcolor{%s}{$%s%.1f\\%%$})", F.when(change >= 0, "green!60!black").otherwise("red"), sign, F.abs(change))
+    else:
+        shown = F.format_string("(%s%.1f%%)", sign, F.abs(change))
+    return F.when(change.isNotNull(), shown).otherwise("")
+
+
+def result_table(runs: DataFrame, metrics: Sequence[str], tags: Sequence[str], digits: int = 3, latex: bool = False) -> DataFrame:
+    """One row for each model and each of one or two `tags` that it has runs of, metrics as formatted cells in their order; cells of the second tag end with the change from the first, where the model has runs of both.
+
+    Models stand in the order of their families, a model's tags in the order given.
+    """
+    if not 1 <= len(tags) <= 2 or len(set(tags)) < len(tags):
+        raise ValueError("one tag, or two different ones")
+    metrics = sorted(metrics, key=metric_place)
+    runs = runs.filter(F.col("tag").isin(list(tags)))
+    measured = runs.groupBy("model", "tag").agg(*(F.struct(F.avg(m).alias("mean"), F.coalesce(F.stddev_samp(m), F.lit(0.0)).alias("deviation")).alias(f"_{k}") for k, m in enumerate(metrics)))
+    place = F.array_position(F.lit(list(tags)), F.col("tag"))
+    before = Window.partitionBy("model").orderBy(place)  # two rows a model
+    cells = []
+    for k, m in enumerate(metrics):
+        now, then = F.col(f"_{k}"), F.lag(f"_{k}").over(before)
+        shown = cell(now["mean"], now["deviation"], digits, latex)
+        change = change_cell(then["mean"], now["mean"], digits, latex)
+        cells.append(F.when(now["mean"].isNotNull(), F.when(change != "", F.concat_ws(" ", shown, change)).otherwise(shown)).alias(m))
+    table = measured.select("model", "tag", place.alias("_tag"), *cells)
+    return table.orderBy(model_place(F.col("model")), F.lower("model"), "_tag").drop("_tag")
+
+
+def drawn(runs: Sequence[Mapping], count: int | None, seed: int = 0) -> list[Mapping]:
+    """`count` of the runs of a grid, drawn without repeats and kept in the grid's order; all, if there are no more or no count is given."""
+    if count is None or count >= len(runs):
+        return list(runs)
+    chosen = sorted(random.Random(seed).sample(range(len(runs)), max(count, 0)))
+    return [runs[k] for k in chosen]
+
+
 def importance_ranks(contributions: DataFrame, feature: str, value: str) -> DataFrame:
     """Features by falling mean size of their contributions."""
     sizes = contributions.groupBy(feature).agg(F.avg(F.abs(F.col(value))).alias("size"))
