@@ -25,6 +25,33 @@ def test_repeats_on_the_table(spark, sf_dir):
     assert found == brute.without_repeats(docs)
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_a_string_in_every_chunk(spark, awkward, parts):
+    """A notice that every document has, each in a chunk of its own: equal strings are made one in parts of the chunks."""
+    from tests.llm.conftest import prose
+
+    notice = prose(11, 60)
+    texts = {k: f"{prose(100 + k, 15)} {notice} {prose(200 + k, 15)}" for k in range(24)} | {100 + k: t for k, t in awkward.items()}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(len(texts), "doc_id")
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(rows, 2, parts).collect()}
+    assert found == brute.without_repeats(texts) and sum(n > 0 for _, n, *_ in found.values()) >= 23
+
+
+def test_hot_strings_are_combined():
+    def payload(*rows):
+        table = np.zeros(len(rows), suffix_dedup.STRING)
+        for k, (doc, place, letter) in enumerate(rows):
+            table[k] = (doc, place, np.full(suffix_dedup.LENGTH, ord(letter)))
+        return table.tobytes()
+
+    def read(raw):
+        return [(int(i), int(p), chr(b[0])) for i, p, b in np.frombuffer(raw, suffix_dedup.STRING)]
+
+    one, two = payload((5, 1, "a"), (3, 9, "b")), payload((4, 7, "a"), (3, 2, "b"), (8, 0, "c"))
+    assert sorted(read(suffix_dedup.combined_hot([one, two]))) == [(3, 2, "b"), (4, 7, "a"), (8, 0, "c")]
+    assert [read(x) for x in suffix_dedup.earliest_hot([one, two])] == [[(4, 7, "a"), (3, 2, "b")], [(4, 7, "a"), (3, 2, "b"), (8, 0, "c")]]
+
+
 def test_repeated_rows_and_null_ids(spark, awkward):
     text = awkward[6]
     rows = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text)], "doc_id long, text string")

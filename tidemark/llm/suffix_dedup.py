@@ -38,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import NULL_ID, Chunk, answer, ask, buckets_of, by_bucket, pack_chunks, split_by, text_bytes, unstreamed
+from .exchange import CHUNK_BYTES, NULL_ID, Chunk, answer, ask, buckets_of, by_bucket, pack_chunks, split_by, text_bytes, unstreamed
 from .worker import begin
 
 LENGTH = 100
 GRAM = 32
 #: Occurrences from which an anchor's strings are dealt out one by one.
 HOT = 4096
+#: Chunks among which a hot string is made one before its earliest place is sought in all of them.
+PART_CHUNKS = 4096
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -347,14 +349,37 @@ def refined_strings(strings: np.ndarray) -> np.ndarray:
     return bucket
 
 
+def in_classes(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For strings with their bytes: an order that puts equal ones together, where their classes begin, and in that order the least (id, place) of each one's class."""
+    bucket = refined_strings(table["bytes"])
+    order = np.argsort(bucket, kind="stable")
+    heads = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1])))
+    return order, heads, *earliest(heads, table["id"][order], table["place"][order])
+
+
+def combined_hot(payloads: list[bytes]) -> bytes:
+    """The strings of all payloads, equal ones as one with their earliest place."""
+    table = np.concatenate([np.frombuffer(p, STRING) for p in payloads])
+    order, heads, least, place = in_classes(table)
+    out = table[order[heads]]
+    out["id"], out["place"] = least[heads], place[heads]
+    return out.tobytes()
+
+
+def earliest_hot(payloads: list[bytes]) -> list[bytes]:
+    """Each payload with its strings' earliest places in all of them."""
+    table = np.concatenate([np.frombuffer(p, STRING) for p in payloads])
+    order, _, least, place = in_classes(table)
+    table["id"][order], table["place"][order] = least, place
+    edges = np.cumsum([len(p) // STRING.itemsize for p in payloads])
+    return [part.tobytes() for part in np.split(table, edges[:-1])]
+
+
 def repeated_hot(payloads: list[bytes]) -> list[bytes]:
     """The same for strings of hot anchors, each by itself."""
     sizes = [len(p) // STRING.itemsize for p in payloads]
     table = np.concatenate([np.frombuffer(p, STRING) for p in payloads])
-    bucket = refined_strings(table["bytes"])
-    order = np.argsort(bucket, kind="stable")
-    heads = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1])))
-    least, place = earliest(heads, table["id"][order], table["place"][order])
+    order, _, least, place = in_classes(table)
     repeated = np.empty(len(order), bool)
     repeated[order] = (table["id"][order] != least) | (table["place"][order] != place)
     return [np.packbits(x).tobytes() for x in np.split(repeated, np.cumsum(sizes)[:-1])]
@@ -399,10 +424,41 @@ def removed_bytes(chunk: Chunk, contexts: Contexts, kind: np.ndarray, judged: di
     return np.cumsum(marks[:-1]) > 0
 
 
-def find_repeats(documents: DataFrame, hot: int, carry: list[str]) -> tuple[DataFrame, int]:
+def compare_in_parts(strings: DataFrame, parts: int) -> DataFrame:
+    """Answers about hot strings (bucket, chunk, payload) whose chunks are so many that a string in all of them would fill a group.
+
+    Equal strings are made one within each of `parts` parts of the chunks, the
+    earliest of all is found among those, and goes back to its part, where it is one
+    more occurrence beside those of the chunks: so no group has a string more often
+    than there are chunks in a part, or parts.
+    """
+    strings = strings.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)))
+
+    def combined(key: tuple, table: pa.Table) -> pa.Table:
+        begin("exchange")
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int64()), "payload": pa.array([combined_hot(table.column("payload").to_pylist())], pa.binary())})
+
+    def over_parts(table: pa.Table) -> pa.Table:
+        begin("exchange")
+        found = earliest_hot(table.column("payload").to_pylist())
+        return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "payload": pa.array(found, pa.binary())})
+
+    def compared(own: pa.Table, first: pa.Table) -> pa.Table:
+        begin("exchange")
+        answers = repeated_hot(own.column("payload").to_pylist() + first.column("payload").to_pylist())[: own.num_rows]
+        return pa.table({"bucket": own.column("bucket"), "chunk": own.column("chunk"), "answer": pa.array(answers, pa.binary())})
+
+    form = "bucket int, part long, payload binary"
+    first = strings.groupBy("bucket", "part").applyInArrow(combined, form).groupBy("bucket").applyInArrow(over_parts, form)
+    return strings.groupBy("bucket", "part").cogroup(first.groupBy("bucket", "part")).applyInArrow(compared, "bucket int, chunk long, answer binary")
+
+
+def find_repeats(documents: DataFrame, hot: int, carry: list[str], parts: int | None = None) -> tuple[DataFrame, int]:
     """Chunks with the answers to both questions, and the number of buckets."""
     chunks = pack_chunks(documents, carry)
-    buckets = buckets_of(documents, text_bytes(documents))
+    size = text_bytes(documents)
+    buckets = buckets_of(documents, size)
+    parts = parts or -(-size // (CHUNK_BYTES * PART_CHUNKS))
 
     def anchors(row: dict) -> list[tuple[int, bytes]]:
         return [(b, hashes.tobytes() + counts.tobytes()) for b, hashes, counts in asked_anchors(Contexts(Chunk(row)), buckets)]
@@ -422,7 +478,11 @@ def find_repeats(documents: DataFrame, hot: int, carry: list[str]) -> tuple[Data
         return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "answer": pa.array(answers, pa.binary())})
 
     known = chunks.join(answer(ask(chunks, anchors), judged, "anchors"), "chunk", "left")
-    replies = ask(known, contexts).groupBy("bucket").applyInArrow(compared, "bucket int, chunk long, answer binary")
+    questions = ask(known, contexts)
+    plain = questions if parts <= 1 else questions.filter("bucket % 2 = 0")
+    replies = plain.groupBy("bucket").applyInArrow(compared, "bucket int, chunk long, answer binary")
+    if parts > 1:
+        replies = replies.unionByName(compare_in_parts(questions.filter("bucket % 2 = 1"), parts))
     strings = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias("strings"))
     return known.join(strings, "chunk", "left"), buckets
 
@@ -443,9 +503,9 @@ def without_repeats(row: dict, buckets: int) -> list[tuple]:
     return out
 
 
-def remove_repeats(documents: DataFrame, hot: int = HOT) -> DataFrame:
+def remove_repeats(documents: DataFrame, hot: int = HOT, parts: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay) of every document."""
-    chunks, buckets = find_repeats(documents, hot, [])
+    chunks, buckets = find_repeats(documents, hot, [], parts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("exchange")
