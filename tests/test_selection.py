@@ -136,3 +136,21 @@ def test_signed_rank_table(spark):
     table = signed_rank_table(*frames, "id", "f", "v", top=3).collect()
     assert [(r["rank"], r.feature, r.n) for r in table] == [(1, "f", 30), (2, "g", 30), (3, "h", 30)]
     assert table[0].marks == "**" and table[0].difference < -1.5 and table[2].difference > 0.3 and table[0].p_value == pytest.approx(2 / 2**30)
+
+
+def test_signed_ranks_of_large_keys_are_the_same(spark, monkeypatch):
+    rows = [(k, (i * 7 + k) % 23 - 9.0) for k in range(4) for i in range(5 + 30 * k)] + [(None, 3.0), (None, -3.0), (9, 0.0)]
+    df = spark.createDataFrame(rows, "key long, d double")
+    ranks = lambda: sorted(map(tuple, statistics.signed_ranks(df, F.col("d"), F.lit(0.0), ["key"]).collect()), key=repr)
+    whole = ranks()
+    assert len(whole) == 6
+    for least in (20, 0):
+        monkeypatch.setattr(statistics, "RANKED_ROWS", least)
+        for a, b in zip(whole, ranks(), strict=True):
+            assert a == pytest.approx(b, nan_ok=True)
+
+
+def test_signed_ranks_shuffle_pairs_once(spark):
+    df = spark.range(100).select((F.col("id") % 10).alias("key"), F.col("id").cast("double").alias("d"))
+    plan = statistics.signed_ranks(df, F.col("d"), F.lit(0.0), ["key"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -183,18 +183,26 @@ def exact_tails_of(n: Column, w: Column) -> Column:
 
 #: Pairs up to which the distribution of rank sums is counted out.
 EXACT_PAIRS = 50
-
-
-def signed_ranks(df: DataFrame, a: Column, b: Column, keys: list[str], continuity: bool = False) -> DataFrame:
-    """Wilcoxon's rank sums of paired differences by key: zeros dropped, tied sizes given their mean rank; two-sided p_value.
-
-    The p-value is exact for up to EXACT_PAIRS pairs without zeros or ties, else by the
-    normal approximation (z) with the correction for ties, and for continuity if asked
-    for; 1 for a key whose differences are all 0.  Pairs with a null are left out.
-    Ranks are counted over distinct sizes, within blocks of sizes whose counts are added
-    up, so that no task gets all pairs of a key.
-    """
-    pairs = df.select(*(F.col(f"`{k}`") for k in keys), (a - b).alias("_d")).filter("_d IS NOT NULL").withColumn("_key", key_of(keys))
+#: Pairs of a key up to which one task ranks them.
+RANKED_ROWS = 1 << 20
+
+
+def ranks_by_key(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Rank sums of keys of up to RANKED_ROWS pairs: shuffled once by key, put in order once, and summed where they stand."""
+    columns = [F.col(f"`{k}`") for k in keys]
+    # zeros come first in the order and are taken off the ranks again
+    rank = F.rank().over(Window.partitionBy(*columns).orderBy("_size"))
+    ranked = pairs.withColumn("_size", F.abs("_d")).withColumn("_rank", rank).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*columns, "_size")))
+    d, mean_rank = F.col("_d"), F.col("_rank") + (F.col("_n") - 1) / 2
+    tied = F.sum(F.when(d != 0, (F.col("_n") * F.col("_n") - 1) / 48.0))
+    sums = ranked.groupBy(*columns).agg(F.count_if(d == 0).alias("zeros"), F.count_if(d != 0).alias("n"), F.count_if(d > 0).alias("_up"), F.sum(F.when(d > 0, mean_rank)).alias("w_plus"), F.sum(F.when(d < 0, mean_rank)).alias("w_minus"), tied.alias("_tied"))
+    sums = sums.fillna(0.0, ["w_plus", "w_minus", "_tied"])
+    return sums.select(*columns, "zeros", "n", (F.col("w_plus") - F.col("zeros") * F.col("_up")).alias("w_plus"), (F.col("w_minus") - F.col("zeros") * (F.col("n") - F.col("_up"))).alias("w_minus"), "_tied")
+
+
+def ranks_by_block(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """The same where keys have very many pairs: counted over distinct sizes, within blocks of sizes whose counts are added up."""
+    pairs = pairs.withColumn("_key", key_of(keys))
     sizes = pairs.groupBy("_key", F.abs("_d").alias("_size")).agg(F.count_if(F.col("_d") > 0).alias("_up"), F.count(F.lit(1)).alias("_n"))
     zeros = sizes.groupBy("_key").agg(F.sum(F.when(F.col("_size") == 0, F.col("_n")).otherwise(0)).alias("zeros"))
     sizes = sizes.filter("_size <> 0").withColumn("_block", F.floor(F.log(F.col("_size")) * 64))
@@ -205,12 +213,32 @@ def signed_ranks(df: DataFrame, a: Column, b: Column, keys: list[str], continuit
     tied = F.sum((F.col("_n") * F.col("_n") - 1) * F.col("_n") / 48.0)
     sums = ranked.groupBy("_key").agg(F.sum("_n").alias("n"), F.sum(F.col("_rank") * F.col("_up")).alias("w_plus"), F.sum(F.col("_rank") * (F.col("_n") - F.col("_up"))).alias("w_minus"), tied.alias("_tied"))
     out = zeros.join(sums, "_key", "left").fillna(0, ["n"]).fillna(0.0, ["w_plus", "w_minus", "_tied"])
+    return out.select(*(F.col("_key")[k].alias(k) for k in keys), "zeros", "n", "w_plus", "w_minus", "_tied")
+
+
+def signed_ranks(df: DataFrame, a: Column, b: Column, keys: list[str], continuity: bool = False) -> DataFrame:
+    """Wilcoxon's rank sums of paired differences by key: zeros dropped, tied sizes given their mean rank; two-sided p_value.
+
+    The p-value is exact for up to EXACT_PAIRS pairs without zeros or ties, else by the
+    normal approximation (z) with the correction for ties, and for continuity if asked
+    for; 1 for a key whose differences are all 0.  Pairs with a null are left out.
+    Keys of up to RANKED_ROWS pairs are ranked each by one task; of larger ones no task
+    gets all pairs.
+    """
+    columns = [F.col(f"`{k}`") for k in keys]
+    pairs = df.select(*columns, (a - b).alias("_d")).filter("_d IS NOT NULL")
+    large = cut_lineage(pairs.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > RANKED_ROWS).select(key_of(keys).alias("_large")))
+    if large.isEmpty():
+        out = ranks_by_key(pairs, keys)
+    else:
+        named = key_of(keys).eqNullSafe(F.col("_large"))
+        out = ranks_by_key(pairs.join(large, named, "left_anti"), keys).unionByName(ranks_by_block(pairs.join(large, named, "left_semi"), keys))
     mean, deviation = F.col("n") * (F.col("n") + 1) / 4, F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("_tied"))
     w = F.least("w_plus", "w_minus")
     out = out.withColumns({"w": w, "z": F.when(deviation > 0, F.least(F.lit(0.0), w - mean + (0.5 if continuity else 0.0)) / deviation)})
     out = out.withColumn("exact", (F.col("n").between(1, EXACT_PAIRS)) & (F.col("zeros") == 0) & (F.col("_tied") == 0))
     p = F.when(F.col("n") == 0, 1.0).when(F.col("exact"), exact_tails_of(F.when(F.col("exact"), F.col("n")), F.col("w"))).otherwise(normal_tails(F.col("z")))
-    return out.withColumn("p_value", p).select(*(F.col("_key")[k].alias(k) for k in keys), "n", "zeros", "w_plus", "w_minus", "w", "z", "exact", "p_value")
+    return out.withColumn("p_value", p).select(*columns, "n", "zeros", "w_plus", "w_minus", "w", "z", "exact", "p_value")
 
 
 def dense_numbers(df: DataFrame, value: str, block: Column, name: str) -> DataFrame:
