@@ -116,3 +116,22 @@ def test_signed_ranks(spark):
 def test_dense_numbers(spark):
     df = spark.createDataFrame([("b1",), ("a2",), ("a1",), ("b1",)], "v string")
     assert sorted(rows(statistics.dense_numbers(df, "v", F.substring("v", 1, 1), "n"), "v", "n")) == [("a1", 1), ("a2", 2), ("b1", 3), ("b1", 3)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_peers_are_counted_after_one_shuffle(spark, sf_dir):
+    from tidemark.plans.queries import QUERIES
+
+    plan = plan_of(QUERIES["peer_columns_snapshot"](spark, sf_dir))
+    assert "Expand" not in plan and plan.count("Exchange hashpartitioning(c_custkey") == 1
+
+
+def test_repeated_pairs_count_one_peer(spark):
+    from tidemark.plans.queries import peer_columns
+
+    rows = [(1, 2, True, 1, 0.5), (1, 2, False, 1, 1.0), (1, 3, False, 0, 0.25), (4, 5, False, None, None)]
+    found = peer_columns(spark.createDataFrame(rows, "c long, peer long, rival boolean, same_country long, similarity double"), ["c"])
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1, round(1.75 / 3, 6), 2), (4, 0, 0, None, 1)]

@@ -411,8 +411,10 @@ def peer_pairs(spark, sf_dir) -> DataFrame:
 
 
 def peer_columns(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Each pair is made one first, then counted; `pairs` should be partitioned by the first key, else a task aggregates all pairs that it reads."""
     rival = F.col("rival")
-    return pairs.groupBy(*keys).agg(F.count_distinct(F.when(rival, F.col("peer"))).alias("n_competitors"), F.sum(F.when(rival, F.col("same_country")).otherwise(0)).alias("same_country"), F.round(F.avg("similarity"), 6).alias("similarity"), F.count_distinct("peer").alias("n_similar"))
+    by_peer = pairs.groupBy(*keys, "peer").agg(F.max(rival.cast("int")).alias("rival"), F.sum(F.when(rival, F.col("same_country")).otherwise(0)).alias("same"), F.sum("similarity").alias("sum"), F.count("similarity").alias("n"))
+    return by_peer.groupBy(*keys).agg(F.count_if(F.col("rival") == 1).alias("n_competitors"), F.sum("same").alias("same_country"), F.round(F.sum("sum") / F.sum("n"), 6).alias("similarity"), F.count("peer").alias("n_similar"))
 
 
 PAIRS = "pairs AS (SELECT a.c_custkey, b.c_custkey AS peer, 1.0 / step AS similarity, step % 2 = 1 AS rival, CASE WHEN a.c_nationkey = b.c_nationkey THEN 1 ELSE 0 END AS same FROM customer a, (VALUES (1), (2), (3), (4)) t(step), customer b WHERE b.c_custkey = a.c_custkey + step)"
@@ -428,7 +430,7 @@ def peer_columns_timed(spark, sf_dir):
 
 @query(f"WITH {PAIRS} SELECT c_custkey, {PEERS} FROM pairs GROUP BY 1")
 def peer_columns_snapshot(spark, sf_dir):
-    return peer_columns(peer_pairs(spark, sf_dir), ["c_custkey"])
+    return peer_columns(peer_pairs(spark, sf_dir).repartition("c_custkey"), ["c_custkey"])
 
 
 @query("""SELECT o_custkey, count(*) AS n_rounds, CAST(sum(CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_undated, CAST(sum(CASE WHEN o_orderkey % 6 = 0 AND o_totalprice > 250000 THEN 1 ELSE 0 END) AS BIGINT) AS n_lost
