@@ -170,3 +170,17 @@ def test_verdicts_match_brute_force(spark):
     frame = spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names))
     for row in frame.withColumn("kept", quality.verdict(rules)).collect():
         assert row.kept == verdict_by_brute_force(row.asDict(), rules)
+
+
+def test_a_prefix_s_last_token_is_looked_for_within_bounds():
+    import public_tokenizers
+
+    from tidemark.llm.bpe import ENDING, Encoder
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        encoder = Encoder(file.read())
+    reach = lambda word: encoder.longest.get(word[-ENDING:], ENDING - 1)
+    assert all(reach(word) >= len(word) for word in encoder.ids)
+    assert reach(b" qqqq") == ENDING - 1
+    for text in ("a", " of", "internationalisation", "éé ütf", " 0123456789" * 9, "aaaaaaaaaaaaaaaaaaaaaaa", "\n\n\n\t x"):
+        assert encoder.count(text) == len(encoder.library.encode(text, add_special_tokens=False).ids)

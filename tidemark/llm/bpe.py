@@ -27,6 +27,8 @@ KEPT = 400_000
 WORDS_BYTES = 96 << 20
 #: Bytes at the start of a piece whose prefixes are kept.
 SHARED = 6
+#: Last bytes of a prefix that bound how long its last token may be.
+ENDING = 4
 
 
 def byte_letters() -> dict[str, int]:
@@ -53,9 +55,10 @@ class Encoder:
         self.made = {a + b: (rank, a, b) for (a, b), rank in reversed(self.ranks.items())}
         # entries that merging never leaves as they are can't be tokens of any text
         self.ids = {word: number for word, number in self.ids.items() if len(word) == 1 or (word in self.made and self.apart(*self.made[word][1:], self.made[word][0]))}
-        self.longest = [0] * 256  # by last byte
+        self.longest: dict[bytes, int] = {}  # by the last ENDING bytes, where a token has as many
         for word in self.ids:
-            self.longest[word[-1]] = max(self.longest[word[-1]], len(word))
+            if len(word) >= ENDING:
+                self.longest[word[-ENDING:]] = max(self.longest.get(word[-ENDING:], 0), len(word))
         self.follows: dict[bytes, dict[bytes, bool]] = {b"": dict.fromkeys(self.ids, True)}
         self.pairs = 0
         self.started: dict[bytes, tuple] = {}
@@ -107,7 +110,7 @@ class Encoder:
         if len(counts) == 1:
             after[0] = follows[b""]
         for end in range(len(counts), len(data) + 1):
-            begin = end - longest[data[end - 1]]
+            begin = end - longest.get(data[end - ENDING : end], ENDING - 1) if end > ENDING else 0
             for begin in range(begin if begin > 0 else 0, end):  # noqa: B020
                 word = data[begin:end]
                 if word in ids:
