@@ -7,9 +7,11 @@ import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import ByteLevel
 
 from tidemark.llm import alignment
-from tidemark.llm.bpe import byte_letters
+from tidemark.llm.bpe import byte_letters, merging_engine
 from tidemark.llm.queries import QUERIES
 from tidemark.llm.tables import table
 
@@ -146,3 +148,66 @@ def test_query(spark, sf_dir, libraries):
     found = {r.doc_id: tuple(r[f] for f in FIELDS) for r in QUERIES["op13_byte_labels"](spark, sf_dir).collect()}
     ids = sorted(texts)
     same([found[i] for i in ids], brute([texts[i] for i in ids], libraries))
+
+
+def test_plain_units_pass_the_library_together(aligner, libraries, monkeypatch):
+    units = [*dict.fromkeys(u for text in [*ODD, "plain wörds and\nlines, 12 of them's ¼ done " + "long" * 200] for u in aligner.units(text))]
+    given, library = [], aligner.a
+
+    class Counting:
+        def encode_batch_fast(self, some, **options):
+            given.extend(some)
+            return library.encode_batch_fast(some, **options)
+
+    monkeypatch.setattr(aligner, "a", Counting())
+    found = [a for a, _ in aligner.tokens(units)]
+    assert " wörds" not in given and "\nlines," not in given and " plain" not in given and " done" not in given
+    assert " 日本語" in given and any("\xa0" in u for u in given) and any("long" in u for u in given)
+    assert found == [x.ids for x in library.encode_batch_fast(units, add_special_tokens=False)]
+
+
+def small_vocabulary(entries, merges):
+    letters = {b: c for c, b in byte_letters().items()}
+    words = [*(letters[b] for b in range(256)), *entries]
+    tokenizer = Tokenizer(BPE({w: k for k, w in enumerate(words)}, [tuple(m.split(" ")) for m in merges]))
+    tokenizer.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=True)
+    return tokenizer
+
+
+@pytest.mark.parametrize(
+    ("entries", "merges"),
+    [
+        (["aa", "aaa", "ab", "aab"], ["a a", "aa a", "a b", "aa b"]),
+        (["bc", "ab", "abc", "cb", "cbc"], ["b c", "a b", "ab c", "c b", "cb c"]),  # the third is never reached, nor the last
+        (["abc", "ab"], ["a b", "ab c"]),  # ids against the order of merges
+        (["ab", "bc", "abc"], ["a b", "b c", "ab c", "a bc"]),  # two merges with one result
+    ],
+)
+def test_merging_engine(entries, merges):
+    tokenizer = small_vocabulary(entries, merges)
+    engine = merging_engine(tokenizer.to_str())
+    assert (engine is None) == (entries[0] == "abc" or len(merges) > len(entries))
+    rng = random.Random(4)
+    for _ in range(3000 if engine else 0):
+        text = "".join(rng.choice("aaabbc ") for _ in range(rng.randint(0, 14)))
+        assert engine(text) == tokenizer.encode(text).ids, text
+
+
+def test_merging_engine_of_the_vocabulary(libraries):
+    with open(A, encoding="utf-8") as file:
+        engine = merging_engine(file.read())
+    words = [w for w in libraries[0].get_vocab() if w.isascii() and w.isalpha()]
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(words) + rng.choice(words)[: rng.randint(0, 5)] + rng.choice(["", "é", "aaaa", "==", "'s"]) for _ in range(40)) for _ in range(500)]
+    assert [engine(t) for t in texts] == [x.ids for x in libraries[0].encode_batch(texts, add_special_tokens=False)]
+
+
+def test_what_is_known_is_forgotten(aligner):
+    rng = random.Random(6)
+    chunks = [["".join(rng.choice([" ab", " cd'e", "\nf", " ▁", "  ", "é", "日"]) for _ in range(rng.randint(0, 9))) for _ in range(20)] for _ in range(30)]
+    little, much = alignment.Known(aligner, 6000), alignment.Known(aligner, 1 << 30)
+    for texts in chunks:
+        assert alignment.linked_chunk(little, texts)["groups_sha256"] == alignment.linked_chunk(much, texts)["groups_sha256"]
+        assert str(alignment.linked_chunk(little, texts)) == str(alignment.linked_chunk(alignment.Known(aligner, 1 << 30), texts))
+        assert len(little) == len(little.groups) == len(little.counts) == len(little.asked) and little.counts[:, 3].sum() == len(little.pairs)
+    assert len(little) < len(much)

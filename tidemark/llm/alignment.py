@@ -9,8 +9,10 @@ overlap, a link.
 
 Texts are cut where neither tokenizer ever joins what stands on both sides, before
 a single space or line feed; such units are shared by many texts, are encoded and
-aligned once, and kept by a worker in bounded memory.  Where the tokenizers don't
-allow that, a text is one unit.
+aligned once, and kept by a worker in bounded memory, as numbers into arrays.  A
+chunk's new units are handled together: those of Latin letters and no white space
+inside go through A as one text.  Where the tokenizers don't allow that, a text is
+one unit.
 
 The links of a chunk of documents are written once, as numbers of the chunk's
 distinct pairs.  Documents by pair are counted over all chunks, first in the
@@ -31,6 +33,8 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain, compress
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +42,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters
+from .bpe import byte_letters, merging_engine
 from .tables import checkpointed, small_batches
-from .worker import Cache, begin, kept
+from .worker import begin, kept
 
-#: Bytes of text in a chunk, about; bytes of what is known of units, by the keys and a part of the values.
-CHUNK_BYTES, UNITS_BYTES = 2 << 20, 40 << 20
+#: Bytes of text in a chunk, about; bytes of what is known of units, and of a unit's beside its texts and links.
+CHUNK_BYTES, UNITS_BYTES, UNIT_BYTES = 2 << 20, 96 << 20, 250
 #: Pairs that a task adds up, and that are broadcast at a time, about; broadcasts between two cuts of lineage.
 TOGETHER, RUN, BETWEEN = 1 << 21, 1 << 20, 4
 #: Labels of a byte.
@@ -51,6 +55,8 @@ NEITHER, A_ENDS, B_ENDS, BOTH = b".abx"
 SPAN = re.compile(rb"[^x]*x")
 #: A unit begins the text or at a single space (or line feed) between two other characters, and goes on to the next such place.
 UNIT = {clean: re.compile(rf"(?:^\s*|{clean})\S*(?:(?!{clean}\S)\s+\S*)*") for clean in ("[ \n]", " ")}
+#: A unit that can stand between others in one text: what all libraries take alike for letters, digits and the like, without white space.
+PLAIN = re.compile("[ \n][!-~\xa1-\u024f]{1,500}")
 
 
 def label_string(a_ends: np.ndarray, b_ends: np.ndarray) -> bytes:
@@ -75,6 +81,14 @@ def aligned(labels: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return a[:-1], b[:-1], links, np.diff(a[last], prepend=0), np.diff(b[last], prepend=0)
 
 
+class Units(NamedTuple):
+    """By unit the numbers of tokens of A and B, of groups and of links (no groups: the bytes differ, all are 0), and the groups as text, a semicolon after each; and all their links, A's id in the upper half of 64 bits."""
+
+    counts: np.ndarray
+    groups: list[bytes]
+    pairs: np.ndarray
+
+
 class Aligner:
     """Tokenizers A (the text of a `tokenizers` file) and B (a `sentencepiece` model)."""
 
@@ -86,49 +100,127 @@ class Aligner:
         self.a.encode_special_tokens = True
         letters = byte_letters()
         spelt = lambda word: bytes(letters[c] for c in word) if all(c in letters for c in word) else word.encode()
-        self.a_bytes = {number: spelt(word) for word, number in self.a.get_vocab(with_added_tokens=True).items()}
+        words = {number: spelt(word) for word, number in self.a.get_vocab(with_added_tokens=True).items()}
+        self.a_bytes = [words.get(k, b"") for k in range(max(words, default=-1) + 1)]
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = (np.array([*map(len, words)], np.int64) for words in (self.a_bytes, self.b_bytes))
+        # ids as text: of A inside a group and at its end, of B inside and at the end
+        self.written = [b"%d%s" % (k, mark) for n, marks in ((len(self.a_bytes), (b",", b"|")), (len(pieces), (b",", b";"))) for mark in marks for k in range(n)]
+        self.written_sizes = np.array([*map(len, self.written)], np.int64)
         known = json.loads(vocabulary)
         cut = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         alone = not known["normalizer"] and cut.items() <= (known["pre_tokenizer"] or {}).items() and not any(re.search("[^▁]▁", p) for p in pieces)
         lines = self.b.encode("\nx", out_type=str)[:2] == ["▁", "<0x0A>"] and not any("\n" in p for p in pieces)
         self.find: Callable[[str], list[str]] = UNIT["[ \n]" if lines else " "].findall if alone else lambda text: [text]
+        self.engine = merging_engine(vocabulary) if alone and all(x["special"] for x in known["added_tokens"]) else None
 
     def units(self, text: str) -> list[str]:
         return self.find(" " + text) if text else []
 
-    def tokens(self, units: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of A and of B of each unit; a unit that begins with a line feed loses the space that B puts before any text."""
-        a = self.a.encode_batch_fast(units, add_special_tokens=False)  # without offsets, which nothing asks for
+    def encoded(self, units: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A, unit after unit, and how many each has; the same of B.  A unit that begins with a line feed loses the space that B puts before any text."""
+        plain = np.fromiter((PLAIN.fullmatch(u) is not None for u in units), bool, len(units)) if self.engine else np.zeros(len(units), bool)
+        ids = np.array(self.engine("".join(compress(units, plain))) if self.engine else [], np.int64)
+        a_n = np.zeros(len(units), np.int64)
+        a_n[plain] = np.diff(np.searchsorted(np.cumsum(self.a_sizes[ids]), np.cumsum(sizes[plain])) + 1, prepend=0)
+        if not plain.all():
+            others = [x.ids for x in self.a.encode_batch_fast([*compress(units, ~plain)], add_special_tokens=False)]  # without offsets, which nothing asks for
+            a_n[~plain] = [*map(len, others)]
+            of = np.repeat(plain, a_n)
+            both = np.empty(len(of), np.int64)
+            both[of], both[~of] = ids, [*chain.from_iterable(others)]
+            ids = both
         b = self.b.encode([u.removeprefix(" ") for u in units], num_threads=1)
-        return ((x.ids, y if u[:1] == " " else y[1:]) for u, x, y in zip(units, a, b, strict=True))
+        b = [y if u[:1] == " " else y[1:] for u, y in zip(units, b, strict=True)]
+        return ids, a_n, np.array([*chain.from_iterable(b)], np.int64), np.array([*map(len, b)], np.int64)
+
+    def tokens(self, units: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        """Ids of A and of B of each unit."""
+        a, a_n, b, b_n = self.encoded(units, np.array([len(u.encode()) for u in units], np.int64))
+        return zip(*([x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] if units else [] for ids, n in ((a, a_n), (b, b_n))), strict=True)
+
+    def measured(self, units: list[str]) -> Units:
+        """All units are aligned in one pass: every unit's last byte has both labels."""
+        data = [u.encode() for u in units]
+        sizes = np.array([*map(len, data)], np.int64)
+        a, a_n, b, b_n = self.encoded(units, sizes)
+        sides = ((a, a_n, self.a_bytes, self.a_sizes), (b, b_n, self.b_bytes, self.b_sizes))
+        fits = np.logical_and.reduce([by_part(by_id[ids], n) == sizes for ids, n, _, by_id in sides])
+        places, wanted = np.flatnonzero(fits), np.frombuffer(b"".join(compress(data, fits)), np.uint8)
+        ends = np.cumsum(sizes[places])
+        spelt = [np.frombuffer(b"".join(map(words.__getitem__, ids[np.repeat(fits, n)].tolist())), np.uint8) for ids, n, words, _ in sides]
+        for found in spelt:
+            fits[places[np.searchsorted(ends, np.flatnonzero(found != wanted), side="right")]] = False
+        a, b, a_n, b_n = a[np.repeat(fits, a_n)], b[np.repeat(fits, b_n)], a_n[fits], b_n[fits]
+        a_of, b_of, links, a_in, b_in = aligned(label_string(np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])))
+
+        # of each group the ids of A, then those of B, the last of each with another mark
+        a_until, b_until = np.cumsum(a_in), np.cumsum(b_in)
+        a_at, b_at = np.arange(len(a)) + np.repeat(b_until - b_in, a_in), np.arange(len(b)) + np.repeat(a_until, b_in)
+        order = np.empty(len(a) + len(b), np.int64)
+        order[a_at], order[b_at] = a, b + 2 * len(self.a_bytes)
+        order[a_at[a_until - 1]] += len(self.a_bytes)
+        order[b_at[b_until - 1]] += len(self.b_bytes)
+        text = b"".join(map(self.written.__getitem__, order.tolist()))
+        n_groups = np.diff(np.searchsorted(a_until, np.cumsum(a_n)) + 1, prepend=0)
+        until = np.zeros(len(units), np.int64)
+        until[fits] = by_part(self.written_sizes[order], a_n + b_n)
+        until = np.cumsum(until).tolist()
+        counts = np.zeros((len(units), 4), np.int64)
+        counts[fits] = np.stack((a_n, b_n, n_groups, by_part(links, n_groups)), axis=1)
+        return Units(counts, [text[i:j] for i, j in zip([0, *until], until, strict=False)], a[a_of] << 32 | b[b_of])
 
     def align(self, units: list[str]) -> dict[str, tuple[int, int, int, str, bytes] | None]:
-        """By unit the numbers of tokens of A and B and of groups, the groups as text, and the links, A's id in the upper half of 64 bits; None if the bytes differ.  All units are aligned in one pass: every unit's last byte has both labels."""
-        out, fitting, a_ids, b_ids, a_sizes, b_sizes = dict.fromkeys(units), [], [], [], [], []
-        for unit, (a, b) in zip(units, self.tokens(units), strict=True):
-            a_parts, b_parts, data = [*map(self.a_bytes.__getitem__, a)], [*map(self.b_bytes.__getitem__, b)], unit.encode()
-            if b"".join(a_parts) == data and b"".join(b_parts) == data:
-                fitting.append((unit, len(a), len(b)))
-                a_ids += a
-                b_ids += b
-                a_sizes += map(len, a_parts)
-                b_sizes += map(len, b_parts)
-        a_of, b_of, links, a_in, b_in = aligned(label_string(np.cumsum(np.array(a_sizes, np.int64)), np.cumsum(np.array(b_sizes, np.int64))))
-        pairs = (np.array(a_ids, np.int64)[a_of] << 32 | np.array(b_ids, np.int64)[b_of]).tobytes()
-        a_text, b_text = [*map(str, a_ids)], [*map(str, b_ids)]
-        groups, at, bt = [], 0, 0
-        for n, m in zip(a_in.tolist(), b_in.tolist(), strict=True):
-            groups.append(f"{a_text[at]}|{b_text[bt]}" if n == m == 1 else f"{','.join(a_text[at : at + n])}|{','.join(b_text[bt : bt + m])}")
-            at, bt = at + n, bt + m
-        a_ends, until = np.cumsum(a_in), np.cumsum(links).tolist()
-        last = np.searchsorted(a_ends, np.cumsum([n for _, n, _ in fitting])).tolist() if fitting else []
-        begin, byte = 0, 0
-        for (unit, n, m), k in zip(fitting, last, strict=True):
-            out[unit] = (n, m, k + 1 - begin, ";".join(groups[begin : k + 1]), pairs[byte : 8 * until[k]])
-            begin, byte = k + 1, 8 * until[k]
-        return out
+        """By unit the numbers of tokens of A and B and of groups, the groups as text, and the links; None if the bytes differ."""
+        found = self.measured(units)
+        pairs = np.split(found.pairs, np.cumsum(found.counts[:, 3])[:-1])
+        return {u: (*n[:3], text[:-1].decode(), x.tobytes()) if n[2] else None for u, n, text, x in zip(units, found.counts.tolist(), found.groups, pairs, strict=True)} if units else {}
+
+
+class Known(dict):
+    """The numbers of units, and by number what is known of them.  When those asked for since the last such time take half of `most` bytes, all others are forgotten."""
+
+    def __init__(self, aligner: Aligner, most: int) -> None:
+        super().__init__()
+        self.aligner, self.most, self.new = aligner, most, []
+        self.counts, self.groups, self.pairs = np.zeros((0, 4), np.int64), [], np.zeros(0, np.int64)
+        self.bytes, self.asked = np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def __missing__(self, unit: str) -> int:
+        self.new.append(unit)
+        self[unit] = number = len(self)
+        return number
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The units of the texts by their numbers, which hold until the next call, and how many each text has."""
+        if self.bytes[self.asked].sum() >= self.most // 2:
+            self.forget()
+        at, sizes, number = [], [], self.__getitem__
+        for text in texts:
+            units = self.aligner.units(text)
+            at += map(number, units)
+            sizes.append(len(units))
+        at = np.array(at, np.int64)
+        if self.new:
+            found = self.aligner.measured(self.new)
+            self.counts = np.concatenate((self.counts, found.counts))
+            self.groups += found.groups
+            self.pairs = np.concatenate((self.pairs, found.pairs))
+            lengths = np.array([*map(len, self.new)], np.int64) + np.array([*map(len, found.groups)], np.int64)
+            self.bytes = np.concatenate((self.bytes, UNIT_BYTES + lengths + 8 * found.counts[:, 3]))
+            self.asked = np.concatenate((self.asked, np.zeros(len(self.new), bool)))
+            self.new = []
+        self.asked[at] = True
+        return at, np.array(sizes, np.int64)
+
+    def forget(self) -> None:
+        stays = [*compress(self, self.asked)]
+        self.pairs = self.pairs[np.repeat(self.asked, self.counts[:, 3])]
+        self.counts, self.groups, self.bytes = self.counts[self.asked], [*compress(self.groups, self.asked)], self.bytes[self.asked]
+        self.asked = np.zeros(len(stays), bool)
+        self.clear()
+        self.update(zip(stays, range(len(stays)), strict=True))
 
 
 def squeezed(*parts: np.ndarray) -> bytes:
@@ -161,30 +253,27 @@ def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[begins], np.add.reduceat(weights, begins) if len(begins) else np.zeros(0, np.int64)
 
 
-def linked_chunk(aligner: Aligner, known: Cache, texts: list[str]) -> dict:
+def linked_chunk(known: Known, texts: list[str]) -> dict:
     """By document the numbers and the hash; the chunk's distinct pairs; and each document's pairs, by their numbers here, with how often it has them."""
-    local: dict[str, int] = {}
-    coded = [[local.setdefault(u, len(local)) for u in aligner.units(text)] for text in texts]
-    found = {u: known[u] for u in local if u in known or u in known.older}
-    found |= aligner.align([u for u in local if u not in found])
-    known.function = found.__getitem__
-    values = [known[u] for u in local]
-    fits = [x is not None for x in values]
-    coded = [units if all(map(fits.__getitem__, units)) else [] for units in coded]
-    values = [x or (0, 0, 0, "", b"") for x in values]
-    groups = [x[3] for x in values]
-    hashes = [hashlib.sha256(";".join(map(groups.__getitem__, units)).encode()).hexdigest() if units else "" for units in coded]
-
-    sizes = np.array([len(units) for units in coded], np.int64)
-    at = np.fromiter((u for units in coded for u in units), np.int64, int(sizes.sum()))
-    counts = np.array([x[:3] for x in values], np.int64).reshape(-1, 3)
-    links = np.array([len(x[4]) // 8 for x in values], np.int64)
-    keys, number = np.unique(np.frombuffer(b"".join(x[4] for x in values), np.int64), return_inverse=True)
+    at, sizes = known.numbers(texts)
+    fits = by_part(known.counts[at, 2] == 0, sizes) == 0
+    at, sizes = at[np.repeat(fits, sizes)], np.where(fits, sizes, 0)
+    counts = known.counts[at]
+    numbers = [by_part(counts[:, k], sizes) for k in range(4)]
+    coded, until = at.tolist(), np.cumsum(sizes).tolist()
+    groups = known.groups.__getitem__
+    hashes = [hashlib.sha256(b"".join(map(groups, coded[i:j]))[:-1]).hexdigest() if i < j else "" for i, j in zip([0, *until], until, strict=False)]
+
+    here = np.zeros(len(known), bool)
+    here[at] = True
+    at, n_local = (np.cumsum(here) - 1)[at], int(here.sum())
+    links = known.counts[here, 3]
+    keys, number = np.unique(known.pairs[np.repeat(here, known.counts[:, 3])], return_inverse=True)
     first = np.cumsum(links) - links
 
     document = np.repeat(np.arange(len(texts)), sizes)
-    unit, times = summed(document * max(1, len(local)) + at, np.ones(len(at), np.int64))
-    document, unit = np.divmod(unit, max(1, len(local)))
+    unit, times = summed(document * max(1, n_local) + at, np.ones(len(at), np.int64))
+    document, unit = np.divmod(unit, max(1, n_local))
     many = links[unit]
     inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     pair, times = summed(np.repeat(document, many) * max(1, len(keys)) + number[np.repeat(first[unit], many) + inside], np.repeat(times, many))
@@ -192,7 +281,6 @@ def linked_chunk(aligner: Aligner, known: Cache, texts: list[str]) -> dict:
     own = np.bincount(document, minlength=len(texts))
     used = np.bincount(pair, minlength=len(keys))
     step = np.diff(pair, prepend=0)  # small numbers, but for each document's first
-    numbers = [by_part(counts[at, k], sizes) for k in range(3)] + [by_part(links[at], sizes)]
     return dict(zip(("n_a", "n_b", "n_groups", "n_links"), numbers, strict=True)) | {"groups_sha256": hashes, "pairs": squeezed(keys, used), "links": squeezed(own, step, times)}
 
 
@@ -208,11 +296,10 @@ def linked_chunks(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
         begin("alignment")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         name = hashlib.md5(models.value[0].encode() + models.value[1]).hexdigest()
-        aligner = kept(f"aligner_{name}", lambda: Aligner(*models.value))
-        known = kept(f"units_{name}", lambda: Cache(str, UNITS_BYTES))
+        known = kept(f"units_{name}", lambda: Known(Aligner(*models.value), UNITS_BYTES))
 
         def chunk() -> pa.RecordBatch:
-            row = {"doc_id": ids} | linked_chunk(aligner, known, texts)
+            row = {"doc_id": ids} | linked_chunk(known, texts)
             types = [pa.list_(pa.int64())] * 5 + [pa.list_(pa.string()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row.values(), types, strict=True)], names=list(row))
 

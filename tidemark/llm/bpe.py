@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import regex
 
@@ -158,6 +159,29 @@ class Encoder:
         return sum(1 if special is not None else sum(self.prefixes(piece.encode())[0][-1] for piece in self.pieces(part)) for part, special in self.parts(text))
 
 
+def merging_engine(vocabulary: str) -> Callable[[str], list[int]] | None:
+    """tiktoken's merging under the same vocabulary, several times as fast; None where it needn't give the same ids.
+
+    That engine joins any two neighbours whose bytes are an entry, the least id first.
+    It is given those entries alone that merging makes of their own bytes.  Where their
+    ids follow the order of merges, that is the same: bytes that no earlier merge has
+    crossed are by then in the two parts that the entry's own merge names.
+    """
+    import tiktoken
+
+    model, encoder = json.loads(vocabulary)["model"], Encoder(vocabulary)
+    made = sorted(encoder.made.items(), key=lambda x: x[1][0])
+    reached = {bytes([b]) for b in range(256)} & encoder.ids.keys()
+    plain = len(reached) == 256 and len(made) == len(encoder.ranks)
+    for word, (_, left, right) in made:
+        if word in encoder.ids and left in reached and right in reached:
+            reached.add(word)
+    ids = [encoder.ids[word] for word, _ in made if word in reached]
+    if not plain or ids != sorted(set(ids)) or any(model.get(x) for x in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")):
+        return None
+    return tiktoken.Encoding("words", pat_str=PIECES, mergeable_ranks={word: encoder.ids[word] for word in reached}, special_tokens={}).encode_ordinary
+
+
 def spaced_apart(text: str) -> bool:
     """Whether every space stands between two characters that are no white space (or at an end), so that the text can be cut before each space and the parts encoded apart."""
     return "  " not in text and " \n" not in text and "\n " not in text and not ODD_SPACE.search(text)
